@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventgrove.functions.let import let
+
 # Suffix rule of the default annotator.
 VERB_SUFFIXES = "(ed|ing|er)$"
 NOMINAL_SUFFIXES = "(tion|ment)$"
@@ -84,8 +86,11 @@ def keep_tokens(tokens: Column) -> Column:
 
 def shift_indices(tokens: Column, indices: Column) -> Column:
     """Move indices left past the blank tokens; an index on a blank token goes away."""
-    kept = F.filter(indices, lambda i: ~is_blank(F.get(tokens, i)))
-    return F.transform(kept, lambda i: F.size(keep_tokens(F.slice(tokens, 1, i + 1))) - 1)
+    def move(tokens: Column) -> Column:
+        kept = F.filter(indices, lambda i: ~is_blank(F.get(tokens, i)))
+        return F.transform(kept, lambda i: F.size(keep_tokens(F.slice(tokens, 1, i + 1))) - 1)
+
+    return let(tokens, body=move)
 
 
 def token_offsets(text: Column) -> Column:
@@ -100,9 +105,12 @@ def token_offsets(text: Column) -> Column:
 def sentence_spans(tokens: Column) -> Column:
     """[start, end) up to and including each ``.`` token; a tail without ``.`` has no span."""
     ends = F.transform(positions_where(tokens, lambda t: t == "."), lambda i: i + 1)
-    return F.transform(
+    return let(
         ends,
-        lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("start"), end.alias("end")),
+        body=lambda ends: F.transform(
+            ends,
+            lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("start"), end.alias("end")),
+        ),
     )
 
 
@@ -139,4 +147,4 @@ def piece_offsets(n_pieces: Column, cap: int = 510) -> Column:
 
 
 def collapse_to_words(labels: Column, first_pieces: Column) -> Column:
-    return F.transform(first_pieces, lambda o: F.get(labels, o))
+    return let(labels, body=lambda labels: F.transform(first_pieces, lambda o: F.get(labels, o)))

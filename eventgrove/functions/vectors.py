@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventgrove.functions.let import let
+
 ZERO = 0.0
 
 
@@ -23,32 +25,34 @@ def distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    norm = F.sqrt(squared_norm(vector))
-    return F.transform(as_double(vector), lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(
+        F.sqrt(squared_norm(vector)),
+        body=lambda norm: F.transform(as_double(vector), lambda x: F.when(norm > 0, x / norm).otherwise(x)),
+    )
 
 
 def mean_of(vectors: Column) -> Column:
     """Elementwise mean of an array of equally long vectors; null when there is none."""
-    first = F.get(vectors, F.lit(0))
-    summed = F.aggregate(
-        F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))),
-        as_double(first),
-        lambda acc, v: F.zip_with(acc, as_double(v), lambda x, y: x + y),
-    )
-    return F.when(F.size(vectors) > 0, F.transform(summed, lambda x: x / F.size(vectors)))
+
+    def mean(vectors: Column, n: Column) -> Column:
+        summed = F.aggregate(
+            F.slice(vectors, 2, F.greatest(n, F.lit(1))),
+            as_double(F.get(vectors, F.lit(0))),
+            lambda acc, v: F.zip_with(acc, as_double(v), lambda x, y: x + y),
+        )
+        return F.when(n > 0, F.transform(summed, lambda x: x / n))
+
+    return let(vectors, F.size(vectors), body=mean)
 
 
 def masked_mean(vectors: Column, mask: Column) -> Column:
     """Mean over the positions whose mask is 1, the count clamped at 1e-9."""
     width = F.size(F.get(vectors, F.lit(0)))
     zero = F.array_repeat(F.lit(ZERO), width)
-    summed = F.aggregate(
-        F.arrays_zip(vectors.alias("v"), mask.alias("m")),
-        zero,
-        lambda acc, row: F.zip_with(acc, as_double(row["v"]), lambda x, y: x + y * row["m"].cast("double")),
-    )
+    rows = F.zip_with(vectors, mask, lambda v, m: F.struct(as_double(v).alias("v"), m.cast("double").alias("m")))
+    summed = F.aggregate(rows, zero, lambda acc, row: F.zip_with(acc, row["v"], lambda x, y: x + y * row["m"]))
     kept = F.greatest(F.aggregate(mask, F.lit(ZERO), lambda s, m: s + m.cast("double")), F.lit(1e-9))
-    return F.transform(summed, lambda x: x / kept)
+    return let(kept, body=lambda kept: F.transform(summed, lambda x: x / kept))
 
 
 def present(*sources: Column) -> Column:
@@ -63,15 +67,15 @@ def pieces_by_word(word_ids: Column) -> Column:
     """Array of piece positions per word; pieces without a word (special tokens) are left out."""
     last = F.array_max(word_ids)
     pairs = F.transform(word_ids, lambda w, i: F.struct(w.alias("word"), i.alias("piece")))
-    of_word = lambda w: F.transform(F.filter(pairs, lambda p: p["word"] == w), lambda p: p["piece"])
-    return F.when(last.isNotNull(), F.transform(F.sequence(F.lit(0), last), of_word)).otherwise(
-        F.array().cast("array<array<int>>")
-    )
+    of_word = lambda pairs, w: F.transform(F.filter(pairs, lambda p: p["word"] == w), lambda p: p["piece"])
+    lists = let(pairs, body=lambda pairs: F.transform(F.sequence(F.lit(0), last), lambda w: of_word(pairs, w)))
+    return F.when(last.isNotNull(), lists).otherwise(F.array().cast("array<array<int>>"))
 
 
 def span_mean(hidden: Column, word_ids: Column, words: Column) -> Column:
     """Mean of the piece vectors that belong to the given words; null for no words."""
-    rows = F.filter(
-        F.arrays_zip(hidden.alias("v"), word_ids.alias("w")), lambda r: F.coalesce(F.array_contains(words, r["w"]), F.lit(False))
+    rows = F.zip_with(hidden, word_ids, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    hits = let(
+        words, body=lambda words: F.filter(rows, lambda r: F.coalesce(F.array_contains(words, r["w"]), F.lit(False)))
     )
-    return mean_of(F.transform(rows, lambda r: as_double(r["v"])))
+    return mean_of(F.transform(hits, lambda r: as_double(r["v"])))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from eventgrove import schemas
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
+from eventgrove.functions.let import let
 from eventgrove.plans.ordering import group_running_sum
 
 
@@ -24,14 +25,20 @@ def kind_priority(kind: Column) -> Column:
 
 def mention_column(tokens: Column) -> Column:
     """Rule-tagged tokens of a sentence as an array of structs, without an explode."""
-    def tagged(token: Column, i: Column) -> Column:
-        form = tk.token_form(token)
-        kind = tk.token_kind(form)
+    def formed(token: Column, i: Column) -> Column:
+        return F.struct(i.alias("tok_idx"), token.alias("token"), tk.token_form(token).alias("form"))
+
+    def tagged(m: Column) -> Column:
         return F.struct(
-            kind.alias("kind"), i.alias("tok_idx"), token.alias("token"), tk.default_lemma(form).alias("lemma")
+            tk.token_kind(m["form"]).alias("kind"),
+            m["tok_idx"].alias("tok_idx"),
+            m["token"].alias("token"),
+            tk.default_lemma(m["form"]).alias("lemma"),
         )
 
-    return F.filter(F.transform(tokens, tagged), lambda m: m["kind"].isNotNull())
+    # Forms first, then the suffix test, then lemmas for the few tokens that pass it.
+    formed_tokens = F.transform(tokens, formed)
+    return F.transform(F.filter(formed_tokens, lambda m: tk.token_kind(m["form"]).isNotNull()), tagged)
 
 
 def annotate_sentences(corpus: DataFrame) -> DataFrame:
@@ -78,12 +85,8 @@ def annotate(corpus: DataFrame, annotator: Callable[[Iterator[pd.DataFrame]], It
     """
     if annotator is not None:
         return corpus.select("sent_id", "tokens").mapInPandas(annotator, schemas.FRAMES)
-    tokens = F.col("tokens")
-    return corpus.select(
-        "sent_id",
-        tokens.alias("words"),
-        F.transform(mention_column(tokens), lambda m: _rule_frame(tokens, m)).alias("frames"),
-    )
+    frames = lambda tokens: F.transform(mention_column(tokens), lambda m: _rule_frame(tokens, m))
+    return corpus.select("sent_id", F.col("tokens").alias("words"), let(F.col("tokens"), body=frames).alias("frames"))
 
 
 def mentions_from_frames(corpus: DataFrame, frames: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
+from eventgrove.functions.let import let
 
 _PIECES = "array<struct<start:int,end:int,label:string,prefix:string>>"
 _PIECE = "struct<start:int,end:int,label:string,prefix:string>"
@@ -65,6 +66,10 @@ def place_arguments(arguments: Column, index_map: Column) -> Column:
     A part number that the split token does not have makes the piece faulty, and it is left out.
     """
 
+    return let(index_map, body=lambda index_map: _placed(arguments, index_map))
+
+
+def _placed(arguments: Column, index_map: Column) -> Column:
     def locate(word: Column, part: Column, whole: Column) -> Column:
         places = F.get(index_map, word)
         return (
@@ -220,15 +225,19 @@ def predicate_argument_graph(df: DataFrame) -> DataFrame:
             c["end"].alias("end"),
         ),
     )
-    constituents = F.col("constituents")
-    source_of = lambda c: F.get(
-        F.filter(constituents, lambda p: p["is_predicate"] & (p["frame"] == c["frame"])), F.lit(0)
-    )["id"]
-    relations = F.transform(
-        F.filter(constituents, lambda c: ~c["is_predicate"]),
-        lambda c: F.struct(c["label"].alias("relation"), source_of(c).alias("src"), c["id"].alias("target")),
-    )
-    return df.withColumn("constituents", numbered).withColumn("relations", relations)
+
+    def related(constituents: Column) -> Column:
+        source_of = lambda c: F.get(
+            F.filter(constituents, lambda p: p["is_predicate"] & (p["frame"] == c["frame"])), F.lit(0)
+        )["id"]
+        relations = F.transform(
+            F.filter(constituents, lambda c: ~c["is_predicate"]),
+            lambda c: F.struct(c["label"].alias("relation"), source_of(c).alias("src"), c["id"].alias("target")),
+        )
+        return F.struct(constituents.alias("constituents"), relations.alias("relations"))
+
+    graph = df.withColumn("_graph", let(numbered, body=related))
+    return graph.select("*", "_graph.constituents", "_graph.relations").drop("_graph")
 
 
 def text_annotation(df: DataFrame, text: str = "sentence") -> DataFrame:
@@ -259,22 +268,21 @@ def align_event_labels(
 
     Without a label column each event counts as salient; the last of several events on one word wins.
     """
-    ids = F.col(word_ids)
     count = F.size(F.col(events))
     given = F.col(labels) if labels else F.array_repeat(F.lit(1), count)
     pairs = F.zip_with(F.col(events), given, lambda e, s: F.struct(F.get(e, F.lit(0)).alias("word"), s.alias("label")))
 
-    def label_of(word: Column, i: Column) -> Column:
+    def label_of(ids: Column, pairs: Column, word: Column, i: Column) -> Column:
         first = (i == 0) | ~F.get(ids, i - 1).eqNullSafe(word)
-        hit = F.element_at(F.concat(F.array(F.struct(F.lit(None).cast("int").alias("word"), F.lit(-100).alias("label"))),
-                                    F.filter(F.col("_pairs"), lambda p: p["word"] == word)), -1)["label"]
-        return F.when(word.isNotNull() & (first | F.lit(all_pieces)), hit).otherwise(-100)
+        last_hit = F.try_element_at(F.filter(pairs, lambda p: p["word"] == word), F.lit(-1))["label"]
+        shown = word.isNotNull() & (first | F.lit(all_pieces))
+        return F.when(shown, F.coalesce(last_hit, F.lit(-100))).otherwise(-100)
 
-    return (
-        df.withColumn("_pairs", pairs)
-        .withColumn("labels", F.transform(ids, label_of))
-        .withColumn("type_ids", F.transform("labels", lambda x: F.when(x != -100, 1).otherwise(0)))
-        .drop("_pairs")
+    marked = let(
+        F.col(word_ids), pairs, body=lambda ids, pairs: F.transform(ids, lambda w, i: label_of(ids, pairs, w, i))
+    )
+    return df.withColumn("labels", marked).withColumn(
+        "type_ids", F.transform("labels", lambda x: F.when(x != -100, 1).otherwise(0))
     )
 
 
@@ -295,26 +303,21 @@ def frames_with_sense(df: DataFrame) -> DataFrame:
 
 def multiword_groups(df: DataFrame, pos: str = "ADP", max_len: int = 3) -> DataFrame:
     """Runs of one part of speech, cut into groups of at most ``max_len`` tokens."""
-    tags = F.col("pos")
-    member = lambda i: F.coalesce(F.get(tags, i) == pos, F.lit(False))
-    places = tk.positions_where(tags, lambda t: t == pos)
-    run_of = lambda i: F.array_max(F.filter(F.col("_runs"), lambda s: s <= i))
-    in_group = lambda head, j: (j >= head) & (j < head + max_len) & (run_of(j) == run_of(head))
-    heads = F.filter(F.col("_places"), lambda i: (i - run_of(i)) % max_len == 0)
-    return (
-        df.withColumn("_places", places)
-        .withColumn("_runs", F.filter("_places", lambda i: ~member(i - 1)))
-        .select(
-            "sent_id",
-            "tokens",
-            F.explode(F.transform(heads, lambda h: F.filter(F.col("_places"), lambda j: in_group(h, j)))).alias("indices"),
-        )
-        .select(
-            "sent_id",
-            "indices",
-            F.array_join(F.transform("indices", lambda i: F.get("tokens", i)), " ").alias("text"),
-        )
-    )
+    def groups(tags: Column) -> Column:
+        places = tk.positions_where(tags, lambda t: t == pos)
+        starts = lambda places: F.filter(places, lambda i: ~F.coalesce(F.get(tags, i - 1) == pos, F.lit(False)))
+        return let(places, body=lambda places: let(starts(places), body=lambda runs: cut(places, runs)))
+
+    def cut(places: Column, runs: Column) -> Column:
+        run_of = lambda i: F.array_max(F.filter(runs, lambda s: s <= i))
+        in_group = lambda head, j: (j >= head) & (j < head + max_len) & (run_of(j) == run_of(head))
+        heads = F.filter(places, lambda i: (i - run_of(i)) % max_len == 0)
+        return F.transform(heads, lambda h: F.filter(places, lambda j: in_group(h, j)))
+
+    found = df.select("sent_id", "tokens", F.explode(let(F.col("pos"), body=groups)).alias("indices"))
+    return found.select(
+        "sent_id", "indices", tk.collapse_to_words(F.col("tokens"), F.col("indices")).alias("_words")
+    ).select("sent_id", "indices", F.array_join("_words", " ").alias("text"))
 
 
 def drop_traces(leaves: Column, empty: str = "-NONE-") -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
+from eventgrove.functions.let import let
 from eventgrove.functions.tokens import index_lists, positions_where
 from eventgrove.operators.spans import parse_arguments
 
@@ -57,13 +58,16 @@ def predicate_indicator(sentences: DataFrame) -> DataFrame:
 
     A part that the split word does not have is left out. Needs ``new_tokens`` and ``new_indices``.
     """
-    placed = F.transform(
-        "predicates",
-        lambda p: F.get(F.get("new_indices", p["word"]), F.coalesce(p["part"], F.lit(0))),
+    placed = let(
+        F.col("new_indices"),
+        body=lambda index_map: F.transform(
+            "predicates", lambda p: F.get(F.get(index_map, p["word"]), F.coalesce(p["part"], F.lit(0)))
+        ),
     )
-    return sentences.withColumn(
-        "indicator", F.transform("new_tokens", lambda t, i: F.coalesce(F.array_contains(placed, i), F.lit(False)).cast("int"))
+    bits = lambda placed: F.transform(
+        "new_tokens", lambda t, i: F.coalesce(F.array_contains(placed, i), F.lit(False)).cast("int")
     )
+    return sentences.withColumn("indicator", let(placed, body=bits))
 
 
 def parse_preposition_lines(lines: DataFrame) -> DataFrame:
@@ -95,16 +99,30 @@ def parse_conll(blocks: DataFrame) -> DataFrame:
     lines = lambda chunk: F.filter(F.split(chunk, r"[\r\n]+"), lambda line: F.trim(line) != "")
     rows = F.transform(lines(F.col("_chunk")), lambda line: F.split(F.trim(line), r"\s+"))
     sentences = (
-        blocks.select("file", F.explode(chunks).alias("_chunk")).withColumn("rows", rows).where(F.size("rows") > 0)
+        blocks.select("file", F.explode(chunks).alias("_chunk"))
+        .where(F.trim("_chunk") != "")
+        .select("file", rows.alias("rows"))
+        .where(F.size("rows") > 0)
     )
     column = lambda i: F.transform("rows", lambda r: F.get(r, F.lit(i)))
     or_null = lambda i: F.transform(column(i), lambda x: F.when(x != "-", x))
     width = F.size(F.get("rows", F.lit(0)))
     annotations = F.when(width > 8, F.sequence(F.lit(8), width - 1)).otherwise(F.array().cast("array<int>"))
-    tags = F.transform(annotations, lambda c: tg.bracket_tags(F.transform("rows", lambda r: F.get(r, c))))
+    tags = let(
+        F.col("rows"),
+        body=lambda rows: F.transform(annotations, lambda c: tg.bracket_tags(F.transform(rows, lambda r: F.get(r, c)))),
+    )
     is_predicate = lambda r: F.exists(F.slice(r, 9, F.size(r)), lambda cell: cell.contains("(V"))
     verbs = F.transform(F.filter("rows", is_predicate), lambda r: F.get(r, F.lit(3)))
-    n = F.least(F.size(verbs), F.size(tags))
+
+    def frames(verbs: Column, tags: Column) -> Column:
+        n = F.least(F.size(verbs), F.size(tags))
+        return F.zip_with(
+            F.slice(verbs, F.lit(1), n),
+            F.slice(tags, F.lit(1), n),
+            lambda v, t: F.struct(v.alias("predicate"), t.alias("tags")),
+        )
+
     return sentences.select(
         "file",
         F.get(F.get("rows", F.lit(0)), F.lit(0)).alias("doc_id"),
@@ -113,9 +131,7 @@ def parse_conll(blocks: DataFrame) -> DataFrame:
         column(4).alias("pos"),
         or_null(6).alias("lemmas"),
         or_null(7).alias("framesets"),
-        F.zip_with(
-            F.slice(verbs, F.lit(1), n), F.slice(tags, F.lit(1), n), lambda v, t: F.struct(v.alias("predicate"), t.alias("tags"))
-        ).alias("frames"),
+        let(verbs, tags, body=frames).alias("frames"),
     )
 
 
@@ -149,7 +165,7 @@ def conll_instances(sentences: DataFrame) -> DataFrame:
 
 def read_ontology_edges(spark: SparkSession, path: str) -> DataFrame:
     """(parent, child) from an ontology text; an event path ends at its first ``n/a``."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     after = F.split(F.substring_index("value", ONTOLOGY_END, 1), "\n")
     start = F.get(positions_where(after, lambda line: line.startswith(ONTOLOGY_START)), F.lit(0))
     lines = text.select(F.posexplode(after).alias("at", "line"), start.alias("start")).where("at > start")
