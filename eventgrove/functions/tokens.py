@@ -41,12 +41,16 @@ def compound_pieces(token: Column, mode: str = "separate") -> Column:
     """
     if mode == "separate":
         cut = F.split(F.regexp_replace(token, "([-/])", f"{_MARK}$1{_MARK}"), _MARK)
-        pieces = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+        # A delimiter at the end leaves no empty piece behind it.
+        pieces = let(cut, body=lambda cut: F.slice(cut, 1, F.size(cut) - (F.element_at(cut, -1) == "").cast("int")))
     elif mode == "attach":
         pieces = F.split(F.regexp_replace(token, "([-/])", f"$1{_MARK}"), _MARK)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return F.when(token.rlike("^[-/]"), F.array(token)).otherwise(pieces)
+    whole = token.startswith("-") | token.startswith("/")
+    # Most tokens have no delimiter, and only the empty one differs between the modes.
+    plain = ~token.contains("-") & ~token.contains("/") & (token != "")
+    return F.when(whole | plain, F.array(token)).otherwise(pieces)
 
 
 def running_sum(counts: Column) -> Column:
