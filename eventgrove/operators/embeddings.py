@@ -24,16 +24,14 @@ def masked_mean_by(df: DataFrame, keys: Sequence[str], vector: str, mask: str) -
     Sums are combined map-side, so a hot group costs no more than a small one.
     """
     weight = F.col(mask).cast("double")
-    stats = Summarizer.metrics("sum", "weightSum")
     # Masked rows weigh nothing in the sum but still make their group appear.
     summed = df.groupBy(*keys).agg(
-        stats.summary(array_to_vector(vec.as_double(F.col(vector))), weight).alias("_s"),
-        F.first(F.size(vector)).alias("_width"),
+        Summarizer.sum(array_to_vector(vec.as_double(F.col(vector))), weight).alias("_sum"),
+        F.sum(weight).alias("_kept"),
+        F.max(F.size(vector)).alias("_width"),
     )
-    total = F.when(F.col("_s.weightSum") > 0, vector_to_array("_s.sum")).otherwise(
-        F.array_repeat(F.lit(0.0), F.col("_width"))
-    )
-    clamped = F.greatest(F.col("_s.weightSum"), F.lit(1e-9))
+    total = F.when(F.col("_kept") > 0, vector_to_array("_sum")).otherwise(F.array_repeat(F.lit(0.0), F.col("_width")))
+    clamped = F.greatest(F.col("_kept"), F.lit(1e-9))
     return summed.select(*keys, F.transform(total, lambda x: x / clamped).alias(vector))
 
 

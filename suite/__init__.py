@@ -2,4 +2,4 @@
 
 from importlib import import_module
 
-MODULES = [import_module(f"suite.{name}") for name in ("corpus", "spans", "salience", "embeddings")]
+MODULES = [import_module(f"suite.{name}") for name in ("corpus", "spans", "salience", "embeddings", "ontology", "evaluation")]
