@@ -181,7 +181,9 @@ def _copy_merges(leaves: DataFrame, groups: DataFrame) -> DataFrame:
     ranked = freeze(group_rank(members, ["root"], [F.col("leaf")], "r", "m"), "copies")
     step = F.col("r").bitwiseAND(-F.col("r"))
     rest = F.least(step, F.col("m") - F.col("r"))
-    top = lambda n: F.shiftleft(F.lit(1).cast("bigint"), F.floor(F.log2(n - 1)).cast("int"))
+    exponent = lambda n: F.length(F.bin(n)) - 1
+    # The largest power of two below n.
+    top = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent(n - 1))
     merges = ranked.where("r > 0").select(
         "root",
         "leaf",
@@ -190,7 +192,7 @@ def _copy_merges(leaves: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(rest == 1, F.col("r")).otherwise(F.col("r") + top(rest)).alias("right_rank"),
         (rest == 1).alias("right_is_leaf"),
         (step + rest).alias("size"),
-        (F.floor(F.log2(step)) - 63).cast("int").alias("round"),
+        (exponent(step) - 63).alias("round"),  # before the rounds of different vectors, from 1 on
     )
     at = lambda side: ranked.select("root", F.col("r").alias(f"{side}_rank"), F.col("leaf").alias(f"{side}_leaf"))
     name = lambda side: F.when(F.col(f"{side}_is_leaf"), F.col(f"{side}_leaf")).otherwise(LEAVES + F.col(f"{side}_leaf"))
