@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventgrove.functions.let import let
 
 # Suffix rule of the default annotator.
-VERB_SUFFIXES = "(ed|ing|er)$"
-NOMINAL_SUFFIXES = "(tion|ment)$"
+VERB_SUFFIXES = ("ed", "ing", "er")
+NOMINAL_SUFFIXES = ("tion", "ment")
 KNOWN_SUFFIXES = "^(.+?)(ed|ing|er|tion|ment)$"
 
 _MARK = "\u0001"
@@ -19,14 +22,20 @@ def whitespace_tokens(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
+def stripped_form(lowered: Column) -> Column:
+    """A lower-case token without trailing non-letters."""
+    ends_in_letter = F.right(lowered, F.lit(1)).between("a", "z")
+    return F.when(ends_in_letter, lowered).otherwise(F.regexp_replace(lowered, r"[^\p{L}]+$", ""))
+
+
 def token_form(token: Column) -> Column:
-    """Lower case without trailing non-letters."""
-    return F.regexp_replace(F.lower(token), r"[^\p{L}]+$", "")
+    return stripped_form(F.lower(token))
 
 
 def token_kind(form: Column) -> Column:
     """verb, nom or null by suffix."""
-    return F.when(form.rlike(VERB_SUFFIXES), "verb").when(form.rlike(NOMINAL_SUFFIXES), "nom")
+    ends_in = lambda suffixes: reduce(or_, [form.endswith(s) for s in suffixes])
+    return F.when(ends_in(VERB_SUFFIXES), "verb").when(ends_in(NOMINAL_SUFFIXES), "nom")
 
 
 def default_lemma(form: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventgrove.functions.let import unpacked
 from eventgrove.functions.tokens import whitespace_tokens
 
 
@@ -24,7 +25,7 @@ def corpus_from_table(df: DataFrame, doc: str, sent: str, text: str) -> DataFram
 def corpus_from_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Sentences = the non-blank lines of a text column; numbers follow the line order."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda line: F.trim(line) != "")
-    rows = df.select(F.col(doc).alias("_doc"), F.posexplode(lines).alias("_sent", "_line"))
+    rows = unpacked(df.withColumn("_doc", F.col(doc)), ["_doc"], lines, "_sent", "_line")
     return corpus_from_table(rows, "_doc", "_sent", "_line")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventgrove.functions import vectors as vec
+from eventgrove.functions.let import unpacked
+from eventgrove.functions.tags import argument_positions
 from eventgrove.functions.tokens import default_lemma, token_form
 from eventgrove.operators.mentions import kind_priority
 from eventgrove.plans.ordering import dense_index
@@ -44,9 +46,7 @@ def predicate_vectors(frames: DataFrame, hidden: DataFrame) -> DataFrame:
 
     ``frames``: sent_id, words, frames. ``hidden``: sent_id, word_ids, hidden.
     """
-    from eventgrove.functions.tags import argument_positions
-
-    rows = frames.select("sent_id", "words", F.posexplode("frames").alias("frame", "_f")).join(hidden, "sent_id")
+    rows = unpacked(frames, ["sent_id", "words"], "frames", "frame", "_f").join(hidden, "sent_id")
     lemmas = lambda places: F.transform(places, lambda i: default_lemma(token_form(F.get("words", i))))
     mean = lambda places: vec.span_mean(F.col("hidden"), F.col("word_ids"), places)
     arg1, arg2 = argument_positions(F.col("_f.tags"), "ARG1"), argument_positions(F.col("_f.tags"), "ARG2")

@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from eventgrove.functions.vectors import as_double
@@ -70,9 +70,23 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return (frame for frame in frames if len(frame))
 
 
+def _best_of(blocks: GroupedData) -> DataFrame:
+    """The best answer over all blocks that a cluster asked."""
+    found = blocks.applyInPandas(_nearest_in_block, "cluster bigint, distance double, nearest bigint")
+    return (
+        found.groupBy("cluster")
+        .agg(F.min(F.struct("distance", "nearest")).alias("_best"))
+        .select("cluster", F.col("_best.nearest").alias("nearest"), F.col("_best.distance").alias("distance"))
+    )
+
+
 def nearest_clusters(asking: DataFrame, state: DataFrame, n_clusters: int) -> DataFrame:
     """(cluster, nearest, distance) for each asking cluster, by exact search over ``state``."""
     columns = ["cluster", "size", "centroid"]
+    if n_clusters <= BLOCK_ROWS:
+        # What is left fits one block: no cells to choose from.
+        both = asking.select(*columns, F.lit(True).alias("asks")).unionByName(state.select(*columns, F.lit(False).alias("asks")))
+        return _best_of(both.groupBy(F.lit(0).alias("block")))
     n_pivots = min(MAX_PIVOTS, max(1, n_clusters // CELL_ROWS))
     # A hash order picks the same pivots on every read; at most MAX_PIVOTS rows reach the driver.
     pivots = state.select(*columns).orderBy(F.xxhash64("cluster"), "cluster").limit(n_pivots).collect()
@@ -142,14 +156,7 @@ def nearest_clusters(asking: DataFrame, state: DataFrame, n_clusters: int) -> Da
         )
 
     blocks = block_rows(requests, True).unionByName(block_rows(placed, False))
-    found = blocks.groupBy("cell", "part", "group").applyInPandas(
-        _nearest_in_block, "cluster bigint, distance double, nearest bigint"
-    )
-    return (
-        found.groupBy("cluster")
-        .agg(F.min(F.struct("distance", "nearest")).alias("_best"))
-        .select("cluster", F.col("_best.nearest").alias("nearest"), F.col("_best.distance").alias("distance"))
-    )
+    return _best_of(blocks.groupBy("cell", "part", "group"))
 
 
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventgrove import schemas
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
-from eventgrove.functions.let import let
+from eventgrove.functions.let import let, unpacked
 from eventgrove.plans.ordering import group_running_sum
 
 
@@ -25,20 +25,17 @@ def kind_priority(kind: Column) -> Column:
 
 def mention_column(tokens: Column) -> Column:
     """Rule-tagged tokens of a sentence as an array of structs, without an explode."""
-    def formed(token: Column, i: Column) -> Column:
-        return F.struct(i.alias("tok_idx"), token.alias("token"), tk.token_form(token).alias("form"))
-
-    def tagged(m: Column) -> Column:
-        return F.struct(
-            tk.token_kind(m["form"]).alias("kind"),
-            m["tok_idx"].alias("tok_idx"),
-            m["token"].alias("token"),
-            tk.default_lemma(m["form"]).alias("lemma"),
-        )
-
-    # Forms first, then the suffix test, then lemmas for the few tokens that pass it.
-    formed_tokens = F.transform(tokens, formed)
-    return F.transform(F.filter(formed_tokens, lambda m: tk.token_kind(m["form"]).isNotNull()), tagged)
+    place = lambda token, i: F.struct(i.alias("tok_idx"), token.alias("token"), F.lower(token).alias("form"))
+    form = lambda m: F.struct(m["tok_idx"].alias("tok_idx"), m["token"].alias("token"), tk.stripped_form(m["form"]).alias("form"))
+    tag = lambda m: F.struct(
+        tk.token_kind(m["form"]).alias("kind"), m["tok_idx"].alias("tok_idx"), m["token"].alias("token"), m["form"].alias("form")
+    )
+    lemma = lambda m: F.struct(
+        m["kind"].alias("kind"), m["tok_idx"].alias("tok_idx"), m["token"].alias("token"), tk.default_lemma(m["form"]).alias("lemma")
+    )
+    # Each step reads the struct of the one before, so nothing is evaluated twice per token.
+    tagged = F.transform(F.transform(F.transform(tokens, place), form), tag)
+    return F.transform(F.filter(tagged, lambda m: m["kind"].isNotNull()), lemma)
 
 
 def annotate_sentences(corpus: DataFrame) -> DataFrame:
@@ -65,7 +62,11 @@ def _rule_frame(tokens: Column, m: Column) -> Column:
         ),
         lambda s: (s["start"] >= 0) & (s["start"] < s["end"]),
     )
-    tags = tg.spans_to_tags(spans, n)
+    return let(tg.spans_to_tags(spans, n), body=lambda tags: _tagged_frame(tokens, m, tags))
+
+
+def _tagged_frame(tokens: Column, m: Column, tags: Column) -> Column:
+    at = m["tok_idx"]
     return F.struct(
         m["kind"].alias("kind"),
         m["token"].alias("text"),
@@ -92,7 +93,7 @@ def annotate(corpus: DataFrame, annotator: Callable[[Iterator[pd.DataFrame]], It
 def mentions_from_frames(corpus: DataFrame, frames: DataFrame) -> DataFrame:
     """Mention rows of annotated sentences; the start token stands for the mention."""
     keys = corpus.select("doc_id", "sent_id", "sent_num")
-    rows = frames.select("sent_id", "words", F.inline("frames"))
+    rows = unpacked(frames, ["sent_id", "words"], "frames", "_f").select("sent_id", "words", "_f.*")
     first = F.array_min("indices")
     return (
         rows.withColumn("tok_idx", first)

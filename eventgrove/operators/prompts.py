@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventgrove.functions.tokens import default_lemma, token_form
+from eventgrove.functions.let import unpacked
+from eventgrove.functions.tokens import default_lemma, running_sum, token_form
 from eventgrove.operators.hierarchies import split_label
 from eventgrove.plans.ordering import dense_index
 
@@ -26,8 +27,6 @@ def flatten_maven(df: DataFrame) -> DataFrame:
 
 def sentence_bounds(sentences: DataFrame) -> DataFrame:
     """Token range [start, end) of each sentence of a document given as ``sentences`` arrays."""
-    from eventgrove.functions.tokens import running_sum
-
     lengths = F.transform("sentences", lambda s: F.size(s))
     rows = F.zip_with(
         F.col("sentences"), running_sum(lengths), lambda s, at: F.struct(s.alias("words"), at.alias("start"))
@@ -81,7 +80,7 @@ def demonstrations(events: DataFrame, dataset: str, edges: DataFrame | None = No
 
 def prompt_rows(frames: DataFrame) -> DataFrame:
     """(target_id, input, predicate): joined words and the first lemma of each frame."""
-    rows = frames.select("sent_id", "words", F.posexplode("frames").alias("frame", "_f"))
+    rows = unpacked(frames, ["sent_id", "words"], "frames", "frame", "_f")
     first = F.get("words", F.get("_f.indices", F.lit(0)))
     return rows.select(
         F.concat_ws("#", "sent_id", "frame").alias("target_id"),

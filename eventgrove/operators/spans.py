@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
-from eventgrove.functions.let import let
+from eventgrove.functions.let import let, unpacked
 
 _PIECES = "array<struct<start:int,end:int,label:string,prefix:string>>"
 _PIECE = "struct<start:int,end:int,label:string,prefix:string>"
@@ -15,12 +15,19 @@ _PIECE = "struct<start:int,end:int,label:string,prefix:string>"
 
 def split_compounds(df: DataFrame, mode: str = "separate", tokens: str = "tokens") -> DataFrame:
     """Adds ``new_tokens`` and ``new_indices`` (old position -> list of new positions)."""
-    pieces = F.transform(F.col(tokens), lambda t: tk.compound_pieces(t, mode))
+    words = F.col(tokens)
+    plain = ~F.exists(words, lambda t: t.contains("-") | t.contains("/") | (t == ""))
+    counts = F.transform("_pieces", lambda p: F.size(p))
+    # Most sentences have nothing to split.
     return (
-        df.withColumn("_pieces", pieces)
-        .withColumn("new_tokens", F.flatten("_pieces"))
-        .withColumn("new_indices", tk.index_lists(F.transform("_pieces", lambda p: F.size(p))))
-        .drop("_pieces")
+        df.withColumn("_plain", plain)
+        .withColumn("_pieces", F.when(~F.col("_plain"), F.transform(words, lambda t: tk.compound_pieces(t, mode))))
+        .withColumn("new_tokens", F.when(F.col("_plain"), words).otherwise(F.flatten("_pieces")))
+        .withColumn(
+            "new_indices",
+            F.when(F.col("_plain"), F.transform(words, lambda t, i: F.array(i))).otherwise(tk.index_lists(counts)),
+        )
+        .drop("_plain", "_pieces")
     )
 
 
@@ -184,7 +191,7 @@ def spans_to_bio(arguments: Column, index_map: Column, n: Column, policy: str =
 
 def frame_spans(frames: DataFrame, *keys: str) -> DataFrame:
     """One row per span of each tagged row: keys, label, start, end (exclusive)."""
-    return frames.select(*keys, F.inline(tg.bio_to_spans(F.col("tags"))))
+    return unpacked(frames, keys, tg.bio_to_spans(F.col("tags")), "_s").select(*keys, "_s.*")
 
 
 def predicate_argument_graph(df: DataFrame) -> DataFrame:
@@ -288,7 +295,7 @@ def align_event_labels(
 
 def candidate_predicates(df: DataFrame, pos_in: tuple[str, ...] = ("VERB",), prefix: str | None = None) -> DataFrame:
     """One row per token whose part of speech is in the set, or starts with ``prefix`` (gold ``NN``)."""
-    rows = df.select("sent_id", F.posexplode(F.arrays_zip("tokens", "pos")).alias("tok_idx", "_t"))
+    rows = unpacked(df, ["sent_id"], F.arrays_zip("tokens", "pos"), "tok_idx", "_t")
     pos = F.col("_t.pos")
     wanted = pos.startswith(prefix) if prefix else pos.isin(*pos_in)
     return rows.where(wanted).select("sent_id", "tok_idx", F.col("_t.tokens").alias("token"), pos.alias("pos"))
@@ -314,7 +321,7 @@ def multiword_groups(df: DataFrame, pos: str = "ADP", max_len: int = 3) -> DataF
         heads = F.filter(places, lambda i: (i - run_of(i)) % max_len == 0)
         return F.transform(heads, lambda h: F.filter(places, lambda j: in_group(h, j)))
 
-    found = df.select("sent_id", "tokens", F.explode(let(F.col("pos"), body=groups)).alias("indices"))
+    found = unpacked(df, ["sent_id", "tokens"], let(F.col("pos"), body=groups), "indices")
     return found.select(
         "sent_id", "indices", tk.collapse_to_words(F.col("tokens"), F.col("indices")).alias("_words")
     ).select("sent_id", "indices", F.array_join("_words", " ").alias("text"))

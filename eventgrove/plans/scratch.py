@@ -39,3 +39,12 @@ def freeze(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table that has fewer splits than there are cores, for row-local work that is slow per byte.
+
+    A large table has more splits than that and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
-from eventgrove.functions.let import let
+from eventgrove.functions.let import let, unpacked
 from eventgrove.functions.tokens import index_lists, positions_where
 from eventgrove.operators.spans import parse_arguments
 
@@ -99,7 +99,7 @@ def parse_conll(blocks: DataFrame) -> DataFrame:
     lines = lambda chunk: F.filter(F.split(chunk, r"[\r\n]+"), lambda line: F.trim(line) != "")
     rows = F.transform(lines(F.col("_chunk")), lambda line: F.split(F.trim(line), r"\s+"))
     sentences = (
-        blocks.select("file", F.explode(chunks).alias("_chunk"))
+        unpacked(blocks, ["file"], chunks, "_chunk")
         .where(F.trim("_chunk") != "")
         .select("file", rows.alias("rows"))
         .where(F.size("rows") > 0)
@@ -156,7 +156,7 @@ def conll_instances(sentences: DataFrame) -> DataFrame:
     """(tokens, indicator, tags) per frame; a sentence without frames gives one all-``O`` instance."""
     blank = F.array(F.struct(F.lit(None).cast("string").alias("predicate"), F.transform("words", lambda w: F.lit("O")).alias("tags")))
     frames = F.when(F.size("frames") > 0, F.col("frames")).otherwise(blank)
-    return sentences.select("words", F.explode(frames).alias("_f")).select(
+    return unpacked(sentences, ["words"], frames, "_f").select(
         F.col("words").alias("tokens"),
         F.transform("_f.tags", lambda t: t.endswith("-V").cast("int")).alias("indicator"),
         F.col("_f.tags").alias("tags"),

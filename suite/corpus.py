@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventgrove.functions.let import let
+from eventgrove.functions.let import let, unpacked
 from eventgrove.operators.corpus import corpus_from_table, tokens_only, union_instances, validate_corpus
 from eventgrove.operators.mentions import annotate, mention_column
 from eventgrove.operators.spans import split_compounds
@@ -22,7 +22,7 @@ from eventgrove.sources.annotated import (
 )
 from eventgrove.sources.corpus import read_corpus, read_event_dataset, read_frames
 from eventgrove.sources.features import read_features, read_tree, stage, write_features, write_tree
-from suite.base import CORPUS_SQL, FRAME_SQL, conversations, joined, query, table
+from suite.base import CORPUS_SQL, FRAME_SQL, conversations, joined, query, table, texts
 from suite.shapes import ace_shape, maven_shape, rams_shape
 from suite.trees import GEO_SQL, geography
 
@@ -63,7 +63,7 @@ SELECT 'sent_id repeated', min(doc_id), sent_id FROM c GROUP BY sent_id HAVING c
 )
 def a2_validate_corpus(spark, sf_dir):
     # Languages as documents: not numeric, and with gaps in the sentence numbers.
-    return validate_corpus(corpus_from_table(table(spark, sf_dir, "documents"), "lang", "doc_id", "text"))
+    return validate_corpus(corpus_from_table(texts(spark, sf_dir, "documents"), "lang", "doc_id", "text"))
 
 
 @query(
@@ -147,9 +147,8 @@ def a8_tree_file(spark, sf_dir):
 
 def span_lines(spark, sf_dir):
     """``conv-N turn tokens ||| 01 rel ARG0 ARG1`` lines, one per rule mention."""
-    corpus = conversations(spark, sf_dir).select(
-        "doc_id", "sent_num", "tokens", F.size("tokens").alias("n"), F.inline(mention_column(F.col("tokens")))
-    )
+    rows = unpacked(conversations(spark, sf_dir), ["doc_id", "sent_num", "tokens"], mention_column(F.col("tokens")), "m")
+    corpus = rows.select("doc_id", "sent_num", "tokens", F.size("tokens").alias("n"), "m.*")
     arg = lambda start, end, label: F.format_string(f"%d:%d-{label}", start, end)
     at = F.col("tok_idx")
     parts = F.array(
@@ -259,7 +258,7 @@ def a11_read_conll(spark, sf_dir):
 
 
 def preposition_lines(spark, sf_dir):
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", "words", F.posexplode("frames").alias("frame", "f"))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     renamed = F.transform(
         "f.tags",
         lambda t: F.when(t == "B-V", "B-PREP").when(t == "B-ARG0", "B-GOV").otherwise(F.regexp_replace(t, "ARG1", "OBJ")),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventgrove.functions import tags as tg
 from eventgrove.functions.tokens import whitespace_tokens
+from eventgrove.functions.let import unpacked
 from eventgrove.operators.evaluate import (
     argmax_label,
     assign_split,
@@ -19,14 +19,15 @@ from eventgrove.operators.evaluate import (
     train_validation_split,
 )
 from eventgrove.operators.mentions import annotate
-from suite.base import CORPUS_SQL, FRAME_SQL, conversations, query, table
+from eventgrove.operators.spans import frame_spans
+from suite.base import CORPUS_SQL, FRAME_SQL, conversations, query, table, texts
 from suite.ontology import event_shares
 
 
 def _span_sets(spark, sf_dir):
     """Gold spans of the rule frames; predictions end every ARG1 one token early and know no ARG0 at the start."""
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", F.posexplode("frames").alias("frame", "f"))
-    gold = rows.select("sent_id", "frame", F.inline(tg.bio_to_spans(F.col("f.tags"))))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id"], "frames", "frame", "f")
+    gold = frame_spans(rows.select("sent_id", "frame", F.col("f.tags").alias("tags")), "sent_id", "frame")
     pred = gold.withColumn(
         "end", F.when((F.col("label") == "ARG1") & (F.col("end") - F.col("start") > 1), F.col("end") - 1).otherwise(F.col("end"))
     ).where((F.col("label") != "ARG0") | (F.col("start") > 0))
@@ -149,7 +150,7 @@ SELECT lang AS split, source AS genre, count(*) AS words, count(*) FILTER (word_
 FROM w GROUP BY ROLLUP (lang, source)""",
 )
 def g9_count_words_sentences(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(
+    lines = texts(spark, sf_dir, "documents").select(
         F.col("lang").alias("split"),
         F.col("source").alias("genre"),
         # Documents after number 500 carry an id of another folder.

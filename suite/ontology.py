@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventgrove.functions.tokens import default_lemma, token_form
+from eventgrove.functions.let import unpacked
 from eventgrove.operators.hierarchies import hierarchy_paths, label_parts, split_label
 from eventgrove.operators.linkage import merge_pairs, ward_linkage
 from eventgrove.operators.mentions import annotate
@@ -324,7 +325,7 @@ def _prompts(spark, sf_dir):
     corpus = conversations(spark, sf_dir)
     frames = annotate(corpus)
     targets = prompt_rows(frames)
-    kinds = frames.select("sent_id", F.posexplode("frames").alias("frame", "f")).select(
+    kinds = unpacked(frames, ["sent_id"], "frames", "frame", "f").select(
         F.concat_ws("#", "sent_id", "frame").alias("target_id"), F.col("f.kind").alias("kind")
     )
     base = targets.join(kinds, "target_id")

@@ -24,7 +24,7 @@ from eventgrove.operators.salience import (
     top_percentile,
 )
 from eventgrove.plans.salient import salient_event_counts, salient_events, salient_mentions
-from suite.base import CORPUS_SQL, FRAME_SQL, benchmark_lemmas, conversation_mentions, conversations, query, table
+from suite.base import CORPUS_SQL, FRAME_SQL, benchmark_lemmas, conversation_mentions, conversations, query, texts
 
 
 @query(
@@ -224,4 +224,4 @@ _DOCUMENT_SQL = CORPUS_SQL.replace(
     f"WITH {_DOCUMENT_SQL}{_SALIENT} SELECT doc_id, sent_id, doc_tok_idx, kind, token, lemma, score, ranking, total_pred FROM top",
 )
 def c11_salient_events_documents(spark, sf_dir):
-    return salient_events(corpus_from_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return salient_events(corpus_from_lines(texts(spark, sf_dir, "documents"), "doc_id", "text"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
-from eventgrove.functions.let import let
+from eventgrove.functions.let import let, unpacked
 from eventgrove.operators.mentions import annotate, mention_column
 from eventgrove.operators.spans import (
     align_event_labels,
@@ -22,7 +22,7 @@ from eventgrove.operators.spans import (
     text_annotation,
 )
 from eventgrove.sources.annotated import parse_span_lines
-from suite.base import CORPUS_SQL, FRAME_SQL, conversations, joined, query, table
+from suite.base import CORPUS_SQL, FRAME_SQL, conversations, joined, query, table, texts
 from suite.corpus import span_lines
 
 URL_SQL = r"""
@@ -32,7 +32,7 @@ url AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS old, parts[i] AS token
 
 
 def url_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.split("url", "[.?=&:]").alias("tokens"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.split("url", "[.?=&:]").alias("tokens"))
 
 
 def _compounds_sql(cut: str) -> str:
@@ -87,7 +87,7 @@ SELECT page_id, string_agg(token, ' ' ORDER BY old) FILTER (trim(token) <> '') A
 FROM k GROUP BY page_id""",
 )
 def b4_drop_blank_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.split("url", "[-/.:]").alias("tokens"))
+    rows = texts(spark, sf_dir, "pages").select("page_id", F.split("url", "[-/.:]").alias("tokens"))
     # Indices of blank tokens are among them and must go away.
     marked = rows.withColumn("indices", tk.positions_where(F.col("tokens"), lambda t: F.length(t) != 2))
     return drop_blank_tokens(marked).select("page_id", "text", joined("indices").alias("indices"))
@@ -102,7 +102,7 @@ SELECT sent_id, form, CAST(coalesce(sum(length(form) + 1) OVER w, 0) AS INTEGER)
 FROM u WINDOW w AS (PARTITION BY sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def b5_token_offsets(spark, sf_dir):
-    return conversations(spark, sf_dir).select("sent_id", F.inline(tk.token_offsets(F.col("sentence"))))
+    return unpacked(conversations(spark, sf_dir), ["sent_id"], tk.token_offsets(F.col("sentence")), "s").select("sent_id", "s.*")
 
 
 _DOTTED = r"string_split_regex(trim(replace(text, '.', ' . ')), '\s+')"
@@ -110,7 +110,7 @@ _DOTTED = r"string_split_regex(trim(replace(text, '.', ' . ')), '\s+')"
 
 def dotted(spark, sf_dir):
     """Conversation turns with each full stop as a token."""
-    spaced = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"\.", " . "))
+    spaced = texts(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"\.", " . "))
     return spaced.select(F.concat_ws("-", "conv_id", "turn").alias("sent_id"), tk.whitespace_tokens(F.col("text")).alias("tokens"))
 
 
@@ -121,12 +121,12 @@ e AS (SELECT sent_id, CAST(i AS INTEGER) AS "end" FROM (SELECT *, unnest(range(1
 SELECT sent_id, coalesce(lag("end") OVER (PARTITION BY sent_id ORDER BY "end"), 0) AS "start", "end" FROM e""",
 )
 def b6_sentence_spans(spark, sf_dir):
-    return dotted(spark, sf_dir).select("sent_id", F.inline(tk.sentence_spans(F.col("tokens"))))
+    return unpacked(dotted(spark, sf_dir), ["sent_id"], tk.sentence_spans(F.col("tokens")), "s").select("sent_id", "s.*")
 
 
 @query("b7_token_spans", f'WITH {CORPUS_SQL} SELECT sent_id, token AS form, tok_idx AS "start", tok_idx + 1 AS "end" FROM tok')
 def b7_token_spans(spark, sf_dir):
-    return conversations(spark, sf_dir).select("sent_id", F.inline(tk.token_spans(F.col("tokens"))))
+    return unpacked(conversations(spark, sf_dir), ["sent_id"], tk.token_spans(F.col("tokens")), "s").select("sent_id", "s.*")
 
 
 _BIO_SQL = f"""WITH {FRAME_SQL},
@@ -175,7 +175,7 @@ def b10_brackets_to_bio(spark, sf_dir):
             .otherwise("*"),
         )
 
-    rows = conversations(spark, sf_dir).select("sent_id", "tokens", F.posexplode(mention_column(F.col("tokens"))).alias("frame", "m"))
+    rows = unpacked(conversations(spark, sf_dir), ["sent_id", "tokens"], mention_column(F.col("tokens")), "frame", "m")
     column = rows.select("sent_id", "frame", cells(F.col("tokens"), F.col("m.tok_idx")).alias("cells"))
     return column.select("sent_id", "frame", joined(tg.bracket_tags(F.col("cells"))).alias("tags"))
 
@@ -185,7 +185,7 @@ def b10_brackets_to_bio(spark, sf_dir):
     f'WITH {FRAME_SQL} SELECT sent_id, frame, label, "start", "end" FROM spans',
 )
 def b11_bio_to_spans(spark, sf_dir):
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", F.posexplode("frames").alias("frame", "f"))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id"], "frames", "frame", "f")
     return frame_spans(rows.select("sent_id", "frame", F.col("f.tags").alias("tags")), "sent_id", "frame")
 
 
@@ -198,7 +198,7 @@ SELECT sent_id, frame, string_agg(CASE WHEN tag LIKE 'B-%' THEN '[' || substr(ta
 FROM n GROUP BY sent_id, frame""",
 )
 def b12_frame_description(spark, sf_dir):
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", "words", F.posexplode("frames").alias("frame", "f"))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     return rows.select("sent_id", "frame", tg.frame_text(F.col("words"), F.col("f.tags")).alias("description"))
 
 
@@ -211,7 +211,7 @@ SELECT sent_id, frame, trim(coalesce(string_agg(token, ' ' ORDER BY tok_idx) FIL
 FROM l GROUP BY sent_id, frame""",
 )
 def b12_frame_description_open(spark, sf_dir):
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", "words", F.posexplode("frames").alias("frame", "f"))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     return rows.select("sent_id", "frame", tg.frame_text(F.col("words"), F.col("f.tags"), "open").alias("description"))
 
 
@@ -237,7 +237,7 @@ def b13_predicate_argument_graph(spark, sf_dir):
         F.get(all_nodes, r["target"])["end"].alias("end"),
     )
     rows = let(F.col("constituents"), body=lambda nodes: F.transform("relations", lambda r: row(nodes, r)))
-    return graph.select("sent_id", F.inline(rows))
+    return unpacked(graph, ["sent_id"], rows, "r").select("sent_id", "r.*")
 
 
 @query(
@@ -273,7 +273,7 @@ _PIECES = "CAST(floor((length(token) + 4) / 5) AS INTEGER)"
 
 
 def framed(spark, sf_dir):
-    rows = annotate(conversations(spark, sf_dir)).select("sent_id", "words", F.posexplode("frames").alias("frame", "f"))
+    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     return rows.select("sent_id", "frame", "words", F.col("f.tags").alias("tags"), piece_counts(F.col("words")).alias("n_pieces"))
 
 
@@ -311,7 +311,7 @@ SELECT sent_id, word, "end" - n + 1 AS "start", "end" FROM s WHERE "end" <= 100"
 )
 def b17_piece_offsets(spark, sf_dir):
     spans = tk.piece_offsets(piece_counts(F.col("tokens")), cap=100)
-    return conversations(spark, sf_dir).select("sent_id", F.posexplode(spans).alias("word", "s")).select(
+    return unpacked(conversations(spark, sf_dir), ["sent_id"], spans, "word", "s").select(
         "sent_id", "word", F.col("s.start").alias("start"), F.col("s.end").alias("end")
     )
 
