@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventgrove.plans.ordering import group_rank
+from eventgrove.plans.scratch import freeze
 
 SCORE_DIGITS = 9
 
@@ -42,8 +43,9 @@ def salience_features(mentions: DataFrame, n_docs: int) -> DataFrame:
     )
 
 
-def score_learned(features: DataFrame, labels: DataFrame, rounds: int = 50) -> DataFrame:
+def score_learned(features: DataFrame, labels: DataFrame, rounds: int = 25) -> DataFrame:
     """Logistic regression on ``salience_features``, trained where ``labels`` (doc_id, doc_tok_idx, saliency) has a row."""
+    features = freeze(features, "salience-features")  # read by the training and by the scoring
     columns = ["tf", "idf", "first_pos", "sent_num"]
     training = features.join(labels, ["doc_id", "doc_tok_idx"]).withColumn("label", F.col("saliency").cast("double"))
     model = Pipeline(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventgrove.plans.scratch import freeze
 from suite.base import table
 
 # Inner ids lie above all customers, in scrambled order: the root is not the largest.
@@ -32,7 +33,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation_id = lambda key: F.lit(n * 2 + 100) - F.col(key)
     region_id = lambda key: F.lit(n * 3 + 200) + F.col(key)
     root = spark.range(1).select(F.lit(n + 7).alias("id"))
-    return reduce(
+    edges = reduce(
         DataFrame.unionByName,
         [
             edge(customer, F.col("c_custkey"), nation_id("c_nationkey"), 0),
@@ -41,3 +42,5 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
             edge(root, F.col("id"), F.lit(None), None),
         ],
     )
+    # As a tree comes from a stage table.
+    return freeze(edges, "geography")
