@@ -20,7 +20,7 @@ from eventgrove.operators.evaluate import (
 )
 from eventgrove.operators.mentions import annotate
 from eventgrove.operators.spans import frame_spans
-from suite.base import CORPUS_SQL, FRAME_SQL, conversations, query, table, texts
+from suite.base import FRAME_SQL, conversations, query, table, texts
 from suite.ontology import event_shares
 
 

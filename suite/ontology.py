@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.functions.tokens import default_lemma, token_form
 from eventgrove.functions.let import unpacked
-from eventgrove.operators.hierarchies import hierarchy_paths, label_parts, split_label
+from eventgrove.operators.hierarchies import hierarchy_paths, split_label
 from eventgrove.operators.linkage import merge_pairs, ward_linkage
 from eventgrove.operators.mentions import annotate
 from eventgrove.operators.naming import (
