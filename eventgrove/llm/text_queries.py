@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventgrove.llm.pieces import decode_pieces, encode_pieces, load_model
+from eventgrove.llm.pieces import load_model, round_trip_pieces
 from eventgrove.llm.registry import query, table
 
 
@@ -21,9 +21,11 @@ def op1(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> Data
     """Ids and decoded text of every document, as digests."""
     model = load_model(model_path or piece_model_path())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_pieces(docs, model).select("doc_id", "ids")
-    digests = encoded.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn(
-        "ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    coded = round_trip_pieces(docs, model, keep=["doc_id"])
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
     )
-    decoded = decode_pieces(digests, model, keep=["doc_id", "n_tokens", "ids_sha256", "ids"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
