@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_BYTES = 2 << 20
@@ -37,9 +38,10 @@ def with_arrow_columns(
     a lost task is run again, and memory is bounded by one sub-batch.
     """
     names = list(fields)
-    kept = df.select(*(keep if keep is not None else df.columns))
     source = "_eg_in"
-    kept = kept.withColumn(source, df[text] if keep is None or text in keep else kept[text]).drop(*names)
+    replaced = {n.lower() for n in names}
+    others = [c for c in (df.columns if keep is None else keep) if c.lower() not in replaced]
+    kept = df.select(*others, F.col(text).alias(source))
     schema = T.StructType([*(f for f in kept.schema.fields if f.name != source), *(T.StructField(n, t) for n, t in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
