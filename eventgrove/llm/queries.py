@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from eventgrove.llm import text_queries  # noqa: F401  (importing the modules fills the registry)
+from eventgrove.llm import mix_queries, text_queries  # noqa: F401  (importing the modules fills the registry)
 from eventgrove.llm.registry import ORACLES, QUERIES  # noqa: F401
