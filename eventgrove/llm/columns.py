@@ -30,7 +30,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BAT
 
 
 def with_arrow_columns(
-    df: DataFrame, text: str, fields: dict[str, T.DataType], compute: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None
+    df: DataFrame, text: str, fields: dict[str, T.DataType], compute: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None, limit: int = BATCH_BYTES
 ) -> DataFrame:
     """``df`` (or its columns ``keep``) with new columns that ``compute`` makes from the column ``text``.
 
@@ -45,7 +45,7 @@ def with_arrow_columns(
     schema = T.StructType([*(f for f in kept.schema.fields if f.name != source), *(T.StructField(n, t) for n, t in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, source):
+        for batch in sub_batches(batches, source, limit):
             at = batch.schema.get_field_index(source)
             made = compute(batch.column(at))
             others = [c for i, c in enumerate(batch.columns) if i != at]

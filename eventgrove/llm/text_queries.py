@@ -1,10 +1,11 @@
-"""Queries that read documents one by one: pieces and quality rules."""
+"""Queries that read documents one by one: pieces, languages and quality rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventgrove.llm.langid import fold, learn_profiles, predict_language
 from eventgrove.llm.pieces import load_model, round_trip_pieces
 from eventgrove.llm.quality import quality_rules
 from eventgrove.llm.registry import query, table
@@ -32,6 +33,14 @@ def op1(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> Data
     )
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; fold 1 is held out of the training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id")) == 1).alias("held_out"))
+    profiles = learn_profiles(docs.where(~F.col("held_out")))
+    return predict_language(docs, profiles, keep=["doc_id", "held_out"])
+
+
 QUALITY_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
