@@ -1,10 +1,11 @@
-"""Queries that read documents one by one: pieces, languages and quality rules."""
+"""Queries that read documents or pages one by one: pieces, main texts, languages and quality rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventgrove.llm.extraction import extract_main_text
 from eventgrove.llm.langid import fold, learn_profiles, predict_language
 from eventgrove.llm.pieces import load_model, round_trip_pieces
 from eventgrove.llm.quality import quality_rules
@@ -33,6 +34,13 @@ def op1(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> Data
     )
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fold 1 is held out of the training."""
