@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.llm.anchors import key_columns
 from eventgrove.llm.fm_dedup import repeated_word_windows
+from eventgrove.llm.jaccard import similar_documents
 from eventgrove.llm.registry import query, table
 from eventgrove.llm.suffix_dedup import repeated_strings
 
@@ -56,3 +57,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
     )
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return similar_documents(table(spark, sf_dir, "documents"))
