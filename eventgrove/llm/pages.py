@@ -51,7 +51,8 @@ class Page:
     """
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.paths, self.dropped, self.header = ["#root"], [-1], [""], [False], [False]
+        self.tags, self.parents, self.paths = ["#root"], [-1], [""]
+        self.dropped, self.header, self.in_main = [False], [False], [False]
         self.pieces: list[tuple[int, str | None, bool]] = []
         self.read(html)
 
@@ -67,6 +68,7 @@ class Page:
         self.paths.append(f"{self.paths[parent]}/{step}" if tag in BLOCK else self.paths[parent])
         self.dropped.append(self.dropped[parent] or tag in NEVER_TEXT or hidden or (not shell and bool(words & BOILERPLATE)))
         self.header.append((self.header[parent] or tag == "header" or (not shell and tag not in HEADING and bool(words & HEADER_WORDS))))
+        self.in_main.append(self.in_main[parent] or tag in ("article", "main"))
         return len(self.tags) - 1
 
     def read(self, html: str) -> None:
@@ -123,9 +125,12 @@ class Page:
         if at < len(html):
             self.pieces.append((stack[-1], html[at:], links > 0))
 
-    def outside(self, node: int) -> bool:
-        """Whether the text of a node is not the article's: boilerplate, or a header's text that is no heading."""
-        if self.dropped[node]:
+    def outside(self, node: int, whole_page: bool = True) -> bool:
+        """Whether the text of a node is not the article's: boilerplate, or a header's text that is no heading.
+
+        The headings of a header count only inside an article, a main element or a smaller container.
+        """
+        if self.dropped[node] or (self.header[node] and whole_page and not self.in_main[node]):
             return True
         while self.header[node]:
             if self.tags[node] in HEADING:
@@ -169,6 +174,7 @@ class Page:
         out: list[str] = []
         held: list[str] = []
         skipped: dict[int, bool] = {}
+        whole_page = path is None or path.rpartition("/")[2].split(".")[0] in ("html", "body")
 
         def flush() -> None:
             text = " ".join(unescape("".join(held)).split())
@@ -181,7 +187,7 @@ class Page:
                 flush()
             else:
                 if node not in skipped:
-                    skipped[node] = not inside[node] or self.outside(node)
+                    skipped[node] = not inside[node] or self.outside(node, whole_page)
                 if not skipped[node]:
                     held.append(text)
         flush()
