@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ SHARD_BYTES = 4 << 20
 #: Symbols of a long text that are hashed at once; windows across the cut belong to the earlier part.
 PIECE = 1 << 22
 PLACE_BITS = 24
+#: Bytes of hot fragments whose windows are hashed at once.
+HOT_BYTES = 1 << 20
 
 _random = np.random.default_rng(20_240_607)
 BYTE_CODES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,6 +196,66 @@ def intervals(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[
     return o[first], p[first], p[last] + 1
 
 
+def windows_by_hash(fragments: DataFrame, symbols: Symbols, parts: int) -> DataFrame:
+    """(anchor, fragment, first, end): repeated windows of fragments with hot anchors, whatever their number.
+
+    Windows are compared by two 64-bit hashes. A task deals the packed hashes of a batch of fragments to
+    buckets; each bucket sends back to the batch which of them occur again, counting copies.
+    """
+    fields = ("anchor", "fragment", "own", "copies")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in sub_batches(batches, "data", HOT_BYTES):
+            anchor, fragment, own, copies = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+            cuts = [symbols.cut(d)[0] for d in batch.column(4).to_pylist()]
+            codes = np.concatenate(cuts)
+            owner = np.repeat(np.arange(len(own)), own)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
+            start = np.cumsum([0, *map(len, cuts)])[:-1][owner] + place
+            h1, h2 = (span_hashes(codes, start, start + symbols.window, which) for which in (2, 3))
+            bucket = ((h1 >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(parts + 1, dtype=np.uint64))
+            name = (part << 32) | number
+            number += 1
+            filled = [b for b in range(parts) if edges[b] < edges[b + 1]]
+            slices = [order[edges[b] : edges[b + 1]] for b in filled]
+            packs = [np.stack([h1[at], h2[at], at.astype(np.uint64), copies[owner[at]].astype(np.uint64)]).tobytes() for at in slices]
+            lists = [pa.array([x.tolist() if k == name % len(filled) else None for k in range(len(filled))], type=pa.list_(pa.int64())) for x in (anchor, fragment, own)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(filled)), pa.array(filled, type=pa.int32()), pa.array(packs, type=pa.binary()), *lists],
+                names=["batch", "bucket", "windows", *fields[:3]],
+            )
+
+    def count(bucket: pd.DataFrame) -> pd.DataFrame:
+        parts_of = [np.frombuffer(x, dtype=np.uint64).reshape(4, -1) for x in bucket["windows"]]
+        h1, h2, _, copies = np.concatenate(parts_of, axis=1)
+        order = np.lexsort((h2, h1))
+        new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
+        run = np.cumsum(new) - 1
+        again = np.zeros(len(h1), dtype=bool)
+        again[order] = (np.bincount(run, weights=copies[order].astype(np.float64)) > 1)[run]
+        ends = np.cumsum([p.shape[1] for p in parts_of])
+        found = [p[2][again[e - p.shape[1] : e]].astype(np.int64).tobytes() for p, e in zip(parts_of, ends)]
+        return pd.DataFrame({"batch": bucket["batch"], "again": found, **{f: bucket[f] for f in fields[:3]}})
+
+    def assemble(batch: pd.DataFrame) -> pd.DataFrame:
+        home = [i for i, x in enumerate(batch["own"]) if x is not None][0]
+        anchor, fragment, own = (np.asarray(batch[f].iloc[home], dtype=np.int64) for f in fields[:3])
+        owner = np.repeat(np.arange(len(own)), own)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
+        flags = np.zeros(len(owner), dtype=bool)
+        flags[np.frombuffer(b"".join(batch["again"]), dtype=np.int64)] = True
+        who, first, end = intervals(flags, owner, place)
+        return pd.DataFrame({"anchor": anchor[who], "fragment": fragment[who], "first": first.astype(np.int32), "end": end.astype(np.int32)})
+
+    lists = ", ".join(f"{f} array<bigint>" for f in fields[:3])
+    dealt = fragments.repartition(parts, "fragment").dropDuplicates(["anchor", "fragment"]).mapInArrow(deal, f"batch bigint, bucket int, windows binary, {lists}")
+    back = dealt.groupBy("bucket").applyInPandas(count, f"batch bigint, again binary, {lists}")
+    return back.groupBy("batch").applyInPandas(assemble, "anchor bigint, fragment bigint, first int, end int")
+
+
 def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with a repeated anchor: k1, k2, data; their repeated windows: k1, k2, first, end).
 
@@ -200,6 +264,7 @@ def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: s
     texts = keyed(df, id, text)
     found = freeze(occurrences(texts, symbols), "runs")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = freeze(again, "again")  # with both sides read from tables, a hot anchor's part of the join can be split
     found = freeze(found.join(again, "anchor", "left_semi"), "repeated")
     distinct = freeze(
         found.groupBy("anchor", "fragment").agg(
@@ -212,6 +277,7 @@ def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: s
         "fragments",
     )
     hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_FRAGMENTS).select("anchor", F.lit(True).alias("hot"))
+    hot = freeze(hot, "hot")
     wanted = (
         distinct.join(hot, "anchor", "left")
         .groupBy("k1", "k2")
@@ -264,24 +330,7 @@ def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: s
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     settled = cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(shard, result)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "data", 1 << 18):
-            for anchor, fragment, own, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
-                codes, _, _ = symbols.cut(data)
-                starts = np.arange(own)
-                hashes = [span_hashes(codes, starts, starts + symbols.window, which) for which in (2, 3)]
-                columns = [pa.array([anchor] * own), pa.array([fragment] * own), pa.array(starts.astype(np.int32)), signed(hashes[0]), signed(hashes[1]), pa.array([copies] * own)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "fragment", "first", "h1", "h2", "copies"])
-
-    each = (
-        fragments.where("hot")
-        .select("anchor", "fragment", "own", "copies", "data")
-        .repartition(parts, "fragment")
-        .dropDuplicates(["anchor", "fragment"])
-        .mapInArrow(windows, "anchor bigint, fragment bigint, first int, h1 bigint, h2 bigint, copies bigint")
-    )
-    twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    single = each.join(twice, ["h1", "h2"], "left_semi").select("anchor", "fragment", "first", (F.col("first") + 1).alias("end"))
+    single = windows_by_hash(fragments.where("hot").select("anchor", "fragment", "own", "copies", "data"), symbols, parts)
     repeated = freeze(settled.unionByName(single), "windows")
     places = found.join(repeated, ["anchor", "fragment"]).select(
         "k1", "k2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")
