@@ -23,6 +23,8 @@ BOILERPLATE = frozenset(
     "shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags taboola teaser toc toolbar tooltip topbar widget widgets".split()
 )
 HEADER_WORDS = frozenset("header head".split())
+# First words of classes that tell the state of a page, such as "has-sidebar".
+STATE_WORDS = frozenset("has with without no is".split())
 # An opening tag (left) ends an open element (right) that HTML lets end without its own tag.
 ENDED_BY = {
     "li": ("li", "ul ol menu"),
@@ -60,7 +62,8 @@ class Page:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         classes = found.get("class", "").split()
         step = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
-        words = {w.lower() for c in (*classes, found.get("id", ""), found.get("role", "")) for w in WORDS.findall(c)} if found else set()
+        named = [WORDS.findall(c) for c in (*classes, found.get("id", ""), found.get("role", ""))] if found else []
+        words = {w.lower() for ws in named if ws and ws[0].lower() not in STATE_WORDS for w in ws}
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         shell = tag in ("html", "body", "article", "main")
         self.tags.append(tag)

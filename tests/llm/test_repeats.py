@@ -163,9 +163,10 @@ def test_connected(spark):
     assert found == {x: root(x) for x in parent if root(x) != x}
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_similar_documents(documents, monkeypatch, block):
-    monkeypatch.setattr("eventgrove.llm.jaccard.BLOCK", block)
+@pytest.mark.parametrize("block,cluster,unit", [(3, 2, 3), (3, 2, 1 << 14), (256, 1024, 1 << 14)])
+def test_similar_documents(documents, monkeypatch, block, cluster, unit):
+    for name, value in (("BLOCK", block), ("CLUSTER_SETS", cluster), ("UNIT_SETS", unit)):
+        monkeypatch.setattr(f"eventgrove.llm.jaccard.{name}", value)
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     component, size = brute.components([i for i, _ in rows], [t for _, t in rows])
     order = lambda r: tuple((x is None, x or 0) for x in r)
@@ -173,3 +174,11 @@ def test_similar_documents(documents, monkeypatch, block):
     got = sorted((tuple(r) for r in similar_documents(documents).collect()), key=order)
     assert got == want
     assert any(c != i for i, _, c in want)
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    rows = [(big, "a b c d e f g"), (None, "a b c d e f g"), (big + 1, "x y"), (None, None)]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in found), key=order) == sorted([(big, 3, big), (None, 3, big), (big + 1, 1, big + 1), (None, 0, None)], key=order)

@@ -108,6 +108,8 @@ def test_page_blocks():
         ("<table><tr><td>1<td>2</table>", ["1", "2"]),
         ('<p title="a > b">x</p>', ["x"]),
         ("<p>x</p><script>never closed <p>y", ["x"]),
+        ('<div class="has-sidebar no-comments"><p>x</p><div class="sidebarRight">y</div></div>', ["x"]),
+        ('<div><div id="comment-7"><p>y</p></div><p>x</p></div>', ["x"]),
         ("</div></p>stray<p>z", ["stray", "z"]),
     ],
 )
