@@ -93,7 +93,7 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
+        ids: list[int] = []
         tokens: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -136,8 +136,10 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
                     ids, tokens, docs, sizes = [], [], [], []
                 tokens.append((bucket << np.uint64(REST_BITS)) | (hashes >> np.uint64(24)))
                 docs.append(of + len(ids))
-                sizes.append(np.bincount(of, minlength=piece.num_rows))
-                ids.extend(piece.column(0).to_pylist())
+                names = piece.column(0).to_pylist()
+                size = np.bincount(of, minlength=piece.num_rows)
+                sizes.append(np.where([i is None for i in names], -1 - size, size))  # negative: the id is null
+                ids.extend(0 if i is None else i for i in names)
                 held += piece.column(1).nbytes
         if ids:
             yield send()
@@ -166,7 +168,8 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
 
     def assemble(batch: pd.DataFrame) -> pd.DataFrame:
         home = [i for i, x in enumerate(batch["ids"]) if x is not None][0]
-        ids, sizes = batch["ids"].iloc[home], np.asarray(batch["sizes"].iloc[home], dtype=np.int64)
+        ids, sizes = np.asarray(batch["ids"].iloc[home], dtype=np.int64), np.asarray(batch["sizes"].iloc[home], dtype=np.int64)
+        missing, sizes = sizes < 0, np.where(sizes < 0, -1 - sizes, sizes)
         token = np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64)
         doc = np.frombuffer(b"".join(batch["docs"]), dtype="<u2").astype(np.int64)
         order = np.lexsort((token, doc))
@@ -175,7 +178,7 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
         ends = np.cumsum(found)
         enough = (found > 0) & (100 * found >= percent * sizes)
         lists = [token[e - f : e] if ok else None for e, f, ok in zip(ends.tolist(), found.tolist(), enough.tolist())]
-        return pd.DataFrame({"id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"), "n_shingles": sizes, "tokens": lists})
+        return pd.DataFrame({"id": pd.arrays.IntegerArray(ids.copy(), missing), "n_shingles": sizes, "tokens": lists})
 
     dealt = rows.mapInArrow(deal, batch_schema)
     back = dealt.groupBy("bucket").applyInPandas(count, "batch bigint, tokens binary, docs binary, ids array<bigint>, sizes array<int>")
