@@ -1,9 +1,10 @@
 """Documents with similar word-shingle sets, by a prefix-tree join.
 
 Similar sets share one of the rarest shingles of each (the prefix), so sets meet in groups by the tokens
-of their prefixes. A first round compares sets in one group each, cut into blocks, which links most
-families; the second compares every pair that shares a group and is not connected yet. Within a task all
-groups lie in one trie (see ``trie``). Only trees of links leave a task, and components are made of them.
+of their prefixes. Sets that such groups connect form a cluster. A small cluster is settled in one place.
+Of a large one, a first round compares sets in blocks, which links most of what is alike; the second
+compares every pair that is not connected yet. Within a task all places lie in one trie (see ``trie``).
+Only trees of links leave a task, and components are made of them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from eventgrove.plans.scratch import freeze
 WORDS, PERCENT = 5, 80
 #: Sets that meet in one block of a group.
 BLOCK = 256
+#: A cluster with no more sets and tokens is settled in one place; one with more sets than the last, by token.
+CLUSTER_SETS, CLUSTER_TOKENS = 1024, 1 << 22
+UNIT_SETS = 1 << 14
 #: Tokens in one trie, about.
 CHUNK_TOKENS = 1 << 19
 
@@ -89,36 +93,54 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
     groups = lists.where("members > 1").groupBy("members", "x", "s", "least").agg(F.min("token").alias("token")).select("token", "members")
     member = freeze(prefix.join(groups, "token"), "groups")
 
-    # Round 1: each set in one of its groups, in blocks.
-    blocks = F.ceil(F.col("members") / BLOCK)
-    chosen = member.groupBy("set_id").agg(F.min(F.struct(F.xxhash64("token").alias("h"), "token", "members")).alias("g")).select("set_id", "g.token", "g.members")
-    place = F.xxhash64("token", hash_block("set_id", blocks, 5))
-    first = chosen.join(sets, "set_id").select(place.alias("place"), "set_id", F.col("set_id").alias("component"), "n_shingles", "tokens")
+    # Clusters: what groups connect. Most are small, and all their pairs are settled in one place.
+    star = member.groupBy("token").agg(F.min("set_id").alias("b"))
+    ends = connected(member.join(star, "token").select(F.col("set_id").alias("a"), "b"))
+    clustered = member.select("set_id").distinct().join(ends.toDF("set_id", "root"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("cluster"))
+    clustered = freeze(clustered.join(sets.select("set_id", F.size("tokens").alias("n_tokens")), "set_id"), "clusters")
+    sizes = freeze(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("held"), F.sum("n_tokens").alias("tokens")), "sizes")
+    is_small = (F.col("held") <= CLUSTER_SETS) & (F.col("tokens") <= CLUSTER_TOKENS)
+    whole = clustered.join(sizes.where(is_small), "cluster").select(F.xxhash64("cluster").alias("place"), "set_id", F.col("set_id").alias("component"))
+    settled = freeze(trie_links(whole.join(sets, "set_id"), percent), "links")
+    large = sizes.where(~is_small & (F.col("held") > 1))
+    if not large.limit(1).count():
+        return connected(settled).toDF("set_id", "root")
+    rest = clustered.join(large, "cluster")
+    # A large cluster is one unit; in a very large one each group of a token is.
+    by_cluster = rest.where(F.col("held") <= UNIT_SETS).select(F.xxhash64("cluster", F.lit("c")).alias("unit"), "set_id")
+    by_token = rest.where(F.col("held") > UNIT_SETS).join(member, "set_id").select(F.xxhash64("token", F.lit("t")).alias("unit"), "set_id")
+    units = freeze(by_cluster.unionByName(by_token), "units")
+
+    # Round 1: each set in one unit, in blocks.
+    counted = units.groupBy("unit").agg(F.count(F.lit(1)).alias("members"))
+    chosen = units.groupBy("set_id").agg(F.min(F.struct(F.xxhash64("unit").alias("h"), "unit")).alias("u")).select("set_id", "u.unit").join(counted, "unit")
+    place = F.xxhash64("unit", hash_block("set_id", F.ceil(F.col("members") / BLOCK), 5))
+    first = chosen.select(place.alias("place"), "set_id", F.col("set_id").alias("component")).join(sets, "set_id")
     roots = connected(freeze(trie_links(first, percent), "links"))
 
-    # Round 2: pairs that share a group and are not connected, whatever the group's size.
-    labelled = member.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("token", "set_id", F.coalesce("root", "set_id").alias("component"))
-    shares = freeze(labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held")), "shares")
-    split = shares.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("held").alias("members"), F.max(F.struct("held", "component")).alias("most")).where("parts > 1")
-    # The largest component of a group is not compared with itself; blocks of it meet the blocks of the rest.
+    # Round 2: pairs that share a unit and are not connected, whatever the unit's size.
+    labelled = units.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("unit", "set_id", F.coalesce("root", "set_id").alias("component"))
+    shares = freeze(labelled.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("held")), "shares")
+    split = shares.groupBy("unit").agg(F.count(F.lit(1)).alias("parts"), F.sum("held").alias("members"), F.max(F.struct("held", "component")).alias("most")).where("parts > 1")
+    # The largest component of a unit is not compared with itself; blocks of it meet the blocks of the rest.
     split = split.select(
-        "token",
+        "unit",
         F.col("most.component").alias("largest"),
         F.when(F.col("members") > BLOCK, F.ceil(F.col("most.held") / BLOCK)).otherwise(F.lit(0)).alias("large_blocks"),
         F.when(F.col("members") > BLOCK, F.ceil((F.col("members") - F.col("most.held")) / BLOCK)).otherwise(F.lit(1)).alias("small_blocks"),
     )
-    open_ = labelled.join(split, "token")
+    open_ = labelled.join(split, "unit")
     is_large = (F.col("component") == F.col("largest")) & (F.col("large_blocks") > 0)
     mine = F.when(is_large, hash_block("set_id", F.greatest("large_blocks", F.lit(1)), 6)).otherwise(F.col("large_blocks") + hash_block("set_id", F.col("small_blocks"), 7))
     small = F.sequence(F.col("large_blocks"), F.col("large_blocks") + F.col("small_blocks") - 1)
     every = F.sequence(F.lit(0).cast("bigint"), F.col("large_blocks") + F.col("small_blocks") - 1)
     meets = F.when(is_large, small).otherwise(every)
-    placed = open_.withColumn("mine", mine).select("token", "set_id", "component", "mine", F.explode(meets).alias("other"))
-    place = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
+    placed = open_.withColumn("mine", mine).select("unit", "set_id", "component", "mine", F.explode(meets).alias("other"))
+    place = F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other"))
     second = placed.select(place.alias("place"), "set_id", "component").join(sets, "set_id")
     more = freeze(trie_links(second, percent), "links")
     tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected(tree.unionByName(more)).select(F.col("node").alias("set_id"), "root")
+    return connected(settled.unionByName(tree).unionByName(more)).select(F.col("node").alias("set_id"), "root")
 
 
 def similar_documents(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:

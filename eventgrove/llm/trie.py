@@ -3,7 +3,8 @@
 The sets of a chunk, as ordered lists of tokens, are sorted so that equal beginnings lie side by side:
 a node of the tree is a stretch of rows that agree on their first tokens. All probes go down level by
 level, as flat arrays of (probe, node, overlap so far): a node is tested once for all sets below it, and
-is left as soon as the tokens that remain on either side cannot make the overlap large enough.
+is left as soon as the tokens that remain on either side cannot make the overlap large enough. Where a
+single set is left below a node, the rest of its tokens is counted at once.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def linked_pairs(group: np.ndarray, component: np.ndarray, size: np.ndarray, tok
     first, end, overlap = np.minimum(probe + 1, m), group_end[of], np.zeros(m, dtype=np.int64)
     first = group_start[of]
     found: list[tuple[int, int]] = []
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
     depth = 0
     while len(probe):
         keep = end > probe + 1
@@ -127,8 +129,28 @@ def linked_pairs(group: np.ndarray, component: np.ndarray, size: np.ndarray, tok
         rest_x = row_start[x + 1] - at - hit
         rest_y = longest.over(inside, finish) - depth - 1
         fits = o + np.minimum(rest_x, rest_y) >= least_overlap(size[x], smallest, percent)
+        # A subtree of one set needs no more levels: its pair is settled below.
+        single = fits & (finish - inside == 1)
+        pending.append((x[single], inside[single]))
+        fits &= ~single
         probe, overlap, first, end = x[fits], o[fits], begin[fits], finish[fits]
         depth += 1
+    x, y = (np.concatenate(parts) for parts in zip(*pending)) if pending else (none, none)
+    turn = np.argsort(x, kind="stable")
+    x, y = x[turn], y[turn]
+    held = np.zeros(width, dtype=bool)
+    tokens_of = [rank[a : a + n] for a, n in zip(starts, lengths)]
+    edges = np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else none
+    for a, b in zip(edges[:-1], edges[1:]):
+        i, others = x[a], y[a:b]
+        held[tokens_of[i]] = True
+        others = others[component[others] != component[i]]
+        needed = least_overlap(size[i], size[others], percent)
+        for part in range(0, len(others), 256):
+            rows = others[part : part + 256]
+            hits = np.add.reduceat(held[np.concatenate([tokens_of[j] for j in rows])], np.cumsum(lengths[rows]) - lengths[rows], dtype=np.int64)
+            found.extend((int(order[i]), int(order[j])) for j in rows[hits >= needed[part : part + 256]])
+        held[tokens_of[i]] = False
     return found
 
 
