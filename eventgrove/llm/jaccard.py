@@ -163,7 +163,9 @@ def similar_documents(df: DataFrame, words: int = WORDS, percent: int = PERCENT,
     names = ["h1", "h2", "n_shingles", "alone"]
     keys = freeze(keys, "keys")
     folded = freeze(keys.groupBy(*names).agg(F.min("at").alias("set_id"), F.min("doc_id").alias("least")), "sets")
-    sets = held.join(folded.select(F.col("set_id").alias("at")), "at", "left_semi").select(F.col("at").alias("set_id"), "n_shingles", "tokens")
+    # A set with a shingle of its own stands for itself; only the others are looked up among the smallest of each kind.
+    shared = held.where(alone.isNull()).join(folded.where("alone = -1").select(F.col("set_id").alias("at")), "at", "left_semi")
+    sets = held.where(alone.isNotNull()).unionByName(shared).select(F.col("at").alias("set_id"), "n_shingles", "tokens")
     sets = freeze(sets, "tokens")
     roots = freeze(similar_components(sets, percent), "components")
     rooted = folded.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -64,19 +64,20 @@ def document_shingles(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np
     return whole, of
 
 
-def packed(rest: np.ndarray, doc: np.ndarray) -> bytes:
-    """Sorted 40-bit numbers and document numbers, byte plane by byte plane, compressed."""
+def packed(rest: np.ndarray, doc: np.ndarray, level: np.ndarray | None = None) -> bytes:
+    """Sorted 40-bit numbers, document numbers and levels, byte plane by byte plane, compressed."""
     planes = [((rest >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8).tobytes() for k in range(5)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, doc.astype("<u2").tobytes()]))
+    levels = b"" if level is None else level.astype(np.uint8).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, doc.astype("<u2").tobytes(), levels]))
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(data: bytes, leveled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // 7
+    n = len(raw) // (8 if leveled else 7)
     rest = np.zeros(n, dtype=np.uint64)
     for k in range(5):
         rest |= np.frombuffer(raw, dtype=np.uint8, count=n, offset=k * n).astype(np.uint64) << np.uint64(8 * k)
-    return rest, np.frombuffer(raw, dtype="<u2", offset=5 * n)
+    return rest, np.frombuffer(raw, dtype="<u2", count=n, offset=5 * n), np.frombuffer(raw, dtype=np.uint8, offset=7 * n)
 
 
 def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) -> DataFrame:
@@ -157,21 +158,21 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
         del order, run
         out = []
         ends = np.cumsum(sizes)
-        number = int(bucket["bucket"].iloc[0])
-        for (r, d), a, b in zip(parts, ends - sizes, ends):
+        for (r, d, _), a, b in zip(parts, ends - sizes, ends):
             shared = np.flatnonzero(many[a:b] > 1)
             # Four classes per doubling, so that the order is a fixed function of the shingle.
-            level = np.minimum(127, np.floor(4 * np.log2(many[a:b][shared])).astype(np.uint64))
-            token = (level << np.uint64(REST_BITS + BUCKET_BITS)) | np.uint64(number << REST_BITS) | r[shared]
-            out.append((token.view(np.int64).tobytes(), d[shared].tobytes()))
-        return pd.DataFrame({"batch": bucket["batch"], "tokens": [t for t, _ in out], "docs": [d for _, d in out], "ids": bucket["ids"], "sizes": bucket["sizes"]})
+            level = np.minimum(127, np.floor(4 * np.log2(many[a:b][shared])))
+            out.append(packed(r[shared], d[shared], level))
+        return pd.DataFrame({"batch": bucket["batch"], "bucket": bucket["bucket"], "shingles": out, "ids": bucket["ids"], "sizes": bucket["sizes"]})
 
     def assemble(batch: pd.DataFrame) -> pd.DataFrame:
         home = [i for i, x in enumerate(batch["ids"]) if x is not None][0]
         ids, sizes = np.asarray(batch["ids"].iloc[home], dtype=np.int64), np.asarray(batch["sizes"].iloc[home], dtype=np.int64)
         missing, sizes = sizes < 0, np.where(sizes < 0, -1 - sizes, sizes)
-        token = np.frombuffer(b"".join(batch["tokens"]), dtype=np.int64)
-        doc = np.frombuffer(b"".join(batch["docs"]), dtype="<u2").astype(np.int64)
+        parts = [unpacked(x, leveled=True) for x in batch["shingles"]]
+        front = [(l.astype(np.uint64) << np.uint64(REST_BITS + BUCKET_BITS)) | np.uint64(b << REST_BITS) for (_, _, l), b in zip(parts, batch["bucket"].tolist())]
+        token = np.concatenate([f | r for f, (r, _, _) in zip(front, parts)]).view(np.int64)
+        doc = np.concatenate([d for _, d, _ in parts]).astype(np.int64)
         order = np.lexsort((token, doc))
         token, doc = token[order], doc[order]
         found = np.bincount(doc, minlength=len(sizes))
@@ -181,5 +182,5 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
         return pd.DataFrame({"id": pd.arrays.IntegerArray(ids.copy(), missing), "n_shingles": sizes, "tokens": lists})
 
     dealt = rows.mapInArrow(deal, batch_schema)
-    back = dealt.groupBy("bucket").applyInPandas(count, "batch bigint, tokens binary, docs binary, ids array<bigint>, sizes array<int>")
+    back = dealt.groupBy("bucket").applyInPandas(count, batch_schema)
     return back.groupBy("batch").applyInPandas(assemble, "id bigint, n_shingles bigint, tokens array<bigint>")
