@@ -70,8 +70,9 @@ def scan_licences(df: DataFrame, id: str = "doc_id", text: str = "text", licence
 
     def units(form: Column) -> Column:
         lines = F.filter(F.transform(F.split(form, "\n"), lambda line: F.trim(line)), possible)
-        whole = F.array(F.struct(F.lit(True).alias("whole"), F.md5(let(joined_lines(form), body=lambda f: F.when(possible(f), respelled(f)).otherwise(f)).cast("binary")).alias("digest")))
-        return F.concat(whole, F.transform(F.array_distinct(lines), lambda line: unit(line, False)))
+        one_line = let(joined_lines(form), body=lambda f: F.when(possible(f), respelled(f)).otherwise(f))
+        whole = F.struct(F.lit(True).alias("whole"), F.md5(one_line.cast("binary")).alias("digest"))
+        return F.concat(F.array(whole), F.transform(F.array_distinct(lines), lambda line: unit(line, False)))
 
     rows = df.select(F.monotonically_increasing_id().alias("at"), F.col(id).alias("id"), let(stripped(F.coalesce(F.col(text), F.lit(""))), body=units).alias("units"))
     # The outer explode keeps the array from being evaluated once more for its size.

@@ -80,8 +80,7 @@ def linked_pairs(group: np.ndarray, component: np.ndarray, size: np.ndarray, tok
     of = np.repeat(np.arange(len(group_start)), group_end - group_start)
     # One probe per row, at the root of its group; only later rows are asked, so each pair is met once.
     probe = np.arange(m)
-    first, end, overlap = np.minimum(probe + 1, m), group_end[of], np.zeros(m, dtype=np.int64)
-    first = group_start[of]
+    first, end, overlap = group_start[of], group_end[of], np.zeros(m, dtype=np.int64)
     found: list[tuple[int, int]] = []
     pending: list[tuple[np.ndarray, np.ndarray]] = []
     depth = 0
