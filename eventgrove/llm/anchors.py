@@ -25,9 +25,9 @@ from eventgrove.plans.scratch import freeze
 #: An anchor with more different fragments is settled window by window, spread over all tasks.
 HOT_FRAGMENTS = 512
 #: Bytes of fragments that are indexed together.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Symbols of a long text that are hashed at once; windows across the cut belong to the earlier part.
-PIECE = 1 << 22
+PIECE = 1 << 19
 PLACE_BITS = 24
 #: Bytes of hot fragments whose windows are hashed at once.
 HOT_BYTES = 1 << 20
@@ -168,7 +168,7 @@ def occurrences(texts: DataFrame, symbols: Symbols) -> DataFrame:
     """(k1, k2, start, own, anchor, fragment): one row per run of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "data"):
+        for batch in sub_batches(batches, "data", PIECE):
             k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
             for codes, bounds, rows, bases in pieces(batch.column(2).to_pylist(), symbols):
                 start, own, anchor, fragment = runs(codes, bounds, symbols.window, symbols.gram)

@@ -38,18 +38,18 @@ def with_arrow_columns(
     a lost task is run again, and memory is bounded by one sub-batch.
     """
     names = list(fields)
-    source = "_eg_in"
     replaced = {n.lower() for n in names}
     others = [c for c in (df.columns if keep is None else keep) if c.lower() not in replaced]
-    kept = df.select(*others, F.col(text).alias(source))
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name != source), *(T.StructField(n, t) for n, t in fields.items())])
+    source = text if text in others else "_eg_in"  # a text that stays crosses to Python once
+    kept = df.select(*others) if source == text else df.select(*others, F.col(text).alias(source))
+    stays = [f for f in kept.schema.fields if f.name in others]
+    schema = T.StructType([*stays, *(T.StructField(n, t) for n, t in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, source, limit):
             at = batch.schema.get_field_index(source)
             made = compute(batch.column(at))
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            other_names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*others, *made], names=[*other_names, *names])
+            held = batch.columns[: len(stays)]
+            yield pa.RecordBatch.from_arrays([*held, *made], names=[*(f.name for f in stays), *names])
 
     return kept.mapInArrow(run, schema)

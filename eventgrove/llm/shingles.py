@@ -21,7 +21,7 @@ from eventgrove.llm.anchors import BYTE_CODES, FACTORS, mixed, span_hashes
 from eventgrove.llm.columns import sub_batches
 
 #: Text of a batch, and of what one bucket counts, about.
-BATCH_TEXT, BUCKET_TEXT = 16 << 20, 24 << 20
+BATCH_TEXT, BUCKET_TEXT = 8 << 20, 16 << 20
 BATCH_DOCS = 60_000
 #: A shingle is a bucket number (16 bits at most) and a remainder of 40 bits; its token puts the frequency class in front.
 REST_BITS, BUCKET_BITS = 40, 16
@@ -121,7 +121,7 @@ def shared_shingles(df: DataFrame, n: int, percent: int, id: str, text: str) ->
                 names=["batch", "bucket", "shingles", "ids", "sizes"],
             )
 
-        for piece in sub_batches(batches, "data"):
+        for piece in sub_batches(batches, "data", 1 << 20):
             for piece in (piece.slice(k, BATCH_DOCS) for k in range(0, piece.num_rows, BATCH_DOCS)):
                 hashes, of = document_shingles(piece.column(1).to_pylist(), n)
                 # Distinct per document, on the whole hash.
