@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventgrove.llm import mixing, topk
-from eventgrove.llm.langid import fold
+from eventgrove.llm.langid import fold, learn_profiles, predict_language
 from eventgrove.llm.mix_queries import PLAN, domain_of
 from eventgrove.llm.mixing import MixPlan, mix_sources
 from eventgrove.llm.topk import SortedLists, top_k
@@ -190,6 +190,20 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert fold(F.col("doc_id")) is not None
 
 
+def test_short_documents_keep_their_place(spark):
+    rng = random.Random(9)
+    syllables = {"en": ["th", "ing", "er", "and", "of"], "fr": ["que", "eau", "oi", "é", "la"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[l]) for _ in range(3)) for _ in range(60)), l) for i, l in enumerate(["en", "fr"] * 20)]
+    short = [" ".join("".join(rng.choice("bjkmpvwxyz") for _ in range(4)) for _ in range(n)) for n in range(1, 9) for _ in range(5)] + ["OK", "to", "Public"]
+    rows += [(100 + k, text, "en") for k, text in enumerate(short)] + [(200, "12 34 !!", "en"), (201, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = learn_profiles(docs.where(fold(F.col("doc_id")) != 1))
+    scores = [r["score"] for r in predict_language(docs, profiles).where("doc_id >= 100 AND doc_id < 200").collect()]
+    assert min(scores) < 0.05  # some are as far from every profile as noise is
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows} - {200, 201}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
