@@ -18,8 +18,10 @@ CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 1_024
 #: Entries read from each list in the first step; each step reads twice as many as the one before.
 FIRST_DEPTH = 16
-#: A vector with a larger component takes no part: its products could leave the range of a long.
+#: A vector with a larger component (after scaling) takes no part.
 LARGEST = 1 << 26
+#: Sums of products below these are exact in floats and in longs; beyond, Python integers are used.
+FLOAT_EXACT, LONG_EXACT = 1 << 53, 1 << 63
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
@@ -35,21 +37,28 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        largest = int(np.abs(vectors).max(initial=0))
-        self.exact_float = largest * largest * max(1, vectors.shape[1]) < 1 << 52
+        self.largest = int(np.abs(vectors).max(initial=0))
+        # Only vectors whose sums with one of their own size fit are held as floats.
+        self.exact_float = self.most(self.largest) < FLOAT_EXACT
         self.scores_from = self.vectors.astype(np.float64) if self.exact_float else self.vectors
         self.lists = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors.T, self.lists, axis=1)
 
+    def most(self, other: int) -> int:
+        """No sum of products with a vector of components up to ``other`` is larger than this."""
+        return self.largest * other * max(1, self.vectors.shape[1])
+
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows whose id is not ``own``, ties to the smaller id."""
         n = len(self.ids)
         axes = np.flatnonzero(query)
-        weights = query[axes]
+        most = self.most(int(np.abs(query).max(initial=0)))
+        floats, longs = self.exact_float and most < FLOAT_EXACT, most < LONG_EXACT
+        weigh = query.astype(np.float64) if floats else query if longs else query.astype(object)
+        weights = query[axes] if longs else weigh[axes]
         falling = weights > 0
         seen = np.zeros(n, dtype=bool)
-        weigh = query.astype(np.float64) if self.exact_float and np.abs(query).max(initial=0) < LARGEST else query
-        best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64 if longs else object)
         depth, step = 0, FIRST_DEPTH
         while True:
             stop = min(n, depth + step)
@@ -62,7 +71,10 @@ class SortedLists:
             new = np.flatnonzero(fresh & ~seen)
             seen |= fresh
             new = new[self.ids[new] != own]
-            found = np.rint(self.scores_from[new] @ weigh).astype(np.int64) if self.exact_float else self.vectors[new] @ query
+            if floats:
+                found = np.rint(self.scores_from[new] @ weigh).astype(np.int64)
+            else:
+                found = (self.vectors[new] if longs else self.vectors[new].astype(object)) @ weigh
             best, scores = np.r_[best, new], np.r_[scores, found]
             if len(best) > k:
                 kth = np.partition(scores, len(scores) - k)[-k]

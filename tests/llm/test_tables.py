@@ -45,6 +45,16 @@ def test_reading_stops_early():
     assert lists.scores_from.read < 1_000
 
 
+@pytest.mark.parametrize("candidate,query,width", [(23, 26, 64), (26, 26, 4096), (31, 31, 64)])
+def test_large_products_are_exact(candidate, query, width):
+    rng = np.random.default_rng(candidate)
+    vectors = (1 << candidate) - 1 - rng.integers(0, 3, (40, width))
+    asked = (1 << query) - 1 - rng.integers(0, 3, width)
+    ids, got = SortedLists(np.arange(40), vectors).top(asked, -1, 20)
+    want = sorted((-sum(int(a) * int(b) for a, b in zip(v, asked)), i) for i, v in enumerate(vectors))[:20]
+    assert [(-int(s), int(i)) for s, i in zip(got, ids)] == want
+
+
 class CountedRows:
     def __init__(self, rows):
         self.rows, self.read = rows, 0
