@@ -1,5 +1,7 @@
 """Known licence texts and notices, as published, and equivalent spellings."""
 
+from importlib.resources import files
+
 # Licence identifiers and their texts without copyright lines.
 LICENCES = {
     "MIT": """MIT License
@@ -41,6 +43,20 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
 }
 
+LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace(
+    "\n\nTHIS SOFTWARE IS",
+    "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.\n\nTHIS SOFTWARE IS",
+)
+# Whole texts lie in files as published; many copies leave out what follows the terms (how to apply them).
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+for file in sorted(files("eventgrove.llm").joinpath("licence_files").iterdir(), key=lambda f: f.name):
+    if file.name.endswith(".txt"):
+        name, whole = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        LICENCES[name] = whole
+        if END_OF_TERMS in whole:
+            LICENCES[f"{name}-terms"] = whole[: whole.index(END_OF_TERMS) + len(END_OF_TERMS)]
+
 # Equivalent spellings, as in the matching guidelines of the SPDX list; left becomes right.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",

@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 from eventgrove.functions.let import let
 from eventgrove.llm.licence_texts import LICENCES, SPELLINGS
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Words behind "copyright" in running text, where no holder follows.
+NO_HOLDER = (
+    "and|are|as|at|disclaimers?|doctrines?|for|from|has|holders?|if|in|infringements?|interests?|is|laws?|licen[cs]es?|licensors?|may|notices?|of|on|or|"
+    "owners?|ownership|permissions?|protect(?:ed|ions?)|resulting|rights?|shall|statements?|that|the (?:library|program|software|work)|this|to|treat(?:y|ies)|"
+    "under|which|will|with"
+)
+#: A line that states a copyright: the word and a sign, year or holder, or a sign alone, and what follows on the line.
+#: A wrapped line of a licence may begin with "copyright notice" or "(c) You must": it stays.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n(©_]*(?:copyright[ \t:]*(?:\(c\)|©|[\[<{]*(?:\d|y{2,4}\b|year\b))"
+    rf"|copyright[ \t]+(?!(?:{NO_HOLDER})\b)[\p{{L}}\[<{{]"
+    r"|\(c\)[ \t]*copyright|\(c\)[^\n]*(?:\b(?:19|20)\d\d\b|all rights reserved)|©|all rights reserved)[^\n]*$"
+)
 #: A text this many times longer than the longest known one cannot become equal to it by respelling.
 RESPELLED = 2
 

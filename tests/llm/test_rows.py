@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -224,6 +226,37 @@ def test_licences(spark, documents, empty):
     assert scan_licences(documents).count() == documents.count() and scan_licences(empty).count() == 0
 
 
+def test_licences_wrapped_and_commented(spark):
+    states = re.compile(r"^\W*(?:copyright (?:\(c\)|\[yyyy)|all rights reserved)|_____", re.I)
+
+    def refill(text, width):
+        """The paragraphs of a text in lines of one width; lines that state a copyright stay lines."""
+        out, held = [], []
+        for line in [*text.split("\n"), ""]:
+            if not line.strip() or states.search(line):
+                out += [*textwrap.wrap(" ".join(held), width, break_long_words=False, break_on_hyphens=False), line]
+                held = []
+            else:
+                held.append(line.strip())
+        return "\n".join(out)
+
+    names = [n for n in LICENCES if "notice" not in n]
+    assert {"Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC"} <= set(names)
+    rows = []
+    for name in names:
+        for width in (50, 66, 72, 100):
+            wrapped = "Copyright (c) 2020 Someone\nCopyright 2021 The Others. All rights reserved.\nCopyright The Third Authors\n(c) 2022 Fourth\n\n" + refill(LICENCES[name], width)
+            rows += [(name, f"{width}", wrapped), (name, f"# {width}", re.sub("(?m)^", "# ", wrapped)), (name, f"* {width}", "/*\n" + re.sub("(?m)^", " * ", wrapped) + "\n */")]
+        rows.append((name, "as published", LICENCES[name]))
+    table = spark.createDataFrame([(f"{n} {how}", t) for n, how, t in rows], "doc_id string, text string")
+    found = {r["id"]: r["licence"] for r in scan_licences(table).collect()}
+    assert {i: l for i, l in found.items() if l != i.split(" ")[0]} == {}
+    isc = "copyright notice and this permission notice appear in all copies."
+    assert isc in LICENCES["ISC"] and LICENCES["ISC"].replace(isc, "\n" + isc) != LICENCES["ISC"]
+    broken = spark.createDataFrame([(1, LICENCES["ISC"].replace(isc, "\n" + isc)), (2, LICENCES["ISC"].replace(isc, "\n * " + isc))], "doc_id int, text string")
+    assert [r["licence"] for r in scan_licences(broken).collect()] == ["ISC", "ISC"]
+
+
 # -- the registered queries against their SQL --------------------------------------------------------
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
