@@ -2,8 +2,8 @@
 
 Each page names the container that holds most of its content, as a path of tags and classes with digits
 generalised. Spark counts the votes per host; the paths with the most votes win, and every page of the
-host is extracted again below the first winning path that it has. A page without any of them falls back
-to its own container.
+host is extracted again below the first winning path that holds most of its content. A page without any
+of them falls back to its own container. Where a page has no container but its body, the host's votes decide.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
+def is_shell(path: str) -> bool:
+    """Whether a path names no container inside the page."""
+    return path.rpartition("/")[2].split(".")[0] in ("", "html", "body")
+
+
 def winning_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, paths): the winning paths of each host, the best first.
 
@@ -68,11 +73,13 @@ def extract_main_text(df: DataFrame, url: str = "url", html: str = "html", text:
                 blocks: list[str] = []
                 if page:
                     tree = Page(page)
+                    own = tree.best_container()[0]
                     for path in paths or []:
-                        blocks = tree.blocks(path) if path in tree.paths else []
+                        if path in tree.paths and (is_shell(own) or own == path or tree.covers(path)):
+                            blocks = tree.blocks(path)
                         if blocks:
                             break
-                    blocks = blocks or tree.blocks(tree.best_container()[0] or None)
+                    blocks = blocks or tree.blocks(own or None)
                 texts.append("\n\n".join(blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["row", "text"])
 

@@ -15,6 +15,10 @@ BLOCK = frozenset(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_TEXT = RAW_TEXT | frozenset("head nav aside footer form button menu dialog label input canvas audio video".split())
 NOT_A_CONTAINER = HEADING | frozenset("p pre li ul ol dl dt dd table tbody thead tfoot tr blockquote figure figcaption span a b i em strong br".split())
+#: Elements whose text is prose wherever they stand.
+PROSE = HEADING | frozenset("p pre li dd dt blockquote td th figcaption caption".split())
+#: A container holds at least this share of the page's content; up to TINY of it in plain boxes may stay outside.
+MOST, TINY = 0.7, 0.05
 # Words in class, id and role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment commentlist comments complementary consent "
@@ -56,6 +60,7 @@ class Page:
         self.tags, self.parents, self.paths = ["#root"], [-1], [""]
         self.dropped, self.header, self.in_main = [False], [False], [False]
         self.pieces: list[tuple[int, str | None, bool]] = []
+        self.totals: list[float] | None = None
         self.read(html)
 
     def open(self, tag: str, attributes: str, parent: int) -> int:
@@ -143,32 +148,74 @@ class Page:
                 return True
         return False
 
+    def content(self) -> list[float]:
+        """Content characters at or below each node: text outside boilerplate; link text counts a tenth."""
+        if self.totals is None:
+            n = len(self.tags)
+            total, bare, solid, linked_text = ([0.0] * n for _ in range(4))
+            prose = [False] * n
+            skipped: dict[int, bool] = {}
+            for node in range(1, n):
+                prose[node] = prose[self.parents[node]] or self.tags[node] in PROSE
+            for node, text, linked in self.pieces:
+                if text and not text.isspace():
+                    if node not in skipped:
+                        skipped[node] = self.outside(node)
+                    if not skipped[node]:
+                        size = len(text.strip())
+                        total[node] += size * (0.1 if linked else 1.0)
+                        (linked_text if linked else solid if prose[node] else bare)[node] += size
+            for node in range(n - 1, 0, -1):
+                for sums in (total, bare, solid, linked_text):
+                    sums[self.parents[node]] += sums[node]
+            self.totals, self.bare, self.solid, self.linked_text = total, bare, solid, linked_text
+        return self.totals
+
     def best_container(self) -> tuple[str, int]:
-        """(path, content characters) of the deepest element that holds most of the content.
+        """(path, content characters) of the element that holds the content; the path is empty if there is none.
 
-        Content is text outside boilerplate; link text counts a tenth. The path is empty if there is none.
+        It starts at the outermost article or main element with most of the content, or else at the page, and goes
+        down only while what stays outside is lists of links or a little text in plain boxes: no heading, paragraph
+        or other prose. It ends at an article. A first heading beside an article or main element counts as its own.
         """
-        own = [0.0] * len(self.tags)
-        skipped: dict[int, bool] = {}
-        for node, text, linked in self.pieces:
-            if text and not text.isspace():
-                if node not in skipped:
-                    skipped[node] = self.outside(node)
-                if not skipped[node]:
-                    own[node] += len(text.strip()) * (0.1 if linked else 1.0)
-        total = own[:]
-        for node in range(len(total) - 1, 0, -1):
-            total[self.parents[node]] += total[node]
+        total = self.content()
         if total[0] <= 0:
             return "", 0
-        best, depth = 0, -1
-        depths = [0] * len(total)
+        children: list[list[int]] = [[] for _ in total]
         for node in range(1, len(total)):
-            depths[node] = depths[self.parents[node]] + 1
-            if total[node] >= 0.7 * total[0] and depths[node] > depth and self.tags[node] in BLOCK and self.tags[node] not in NOT_A_CONTAINER:
-                best, depth = node, depths[node]
+            if total[node] > 0:
+                children[self.parents[node]].append(node)
+        most = MOST * total[0]
+        at = next((node for node in range(1, len(total)) if self.tags[node] in ("article", "main") and total[node] >= most), 0)
+        up = self.parents[at]
+        if at and self.tags[up] not in ("html", "body", "#root") and any(self.tags[c] == "h1" for c in children[up]):
+            return self.paths[up], int(total[up])
+        best = at
+        while self.tags[at] != "article" and children[at]:
+            heaviest = max(children[at], key=lambda c: total[c])
+            left = self.bare[at] - sum(self.bare[c] for c in children[at])
+            loose = self.solid[at] - sum(self.solid[c] for c in children[at])
+            for c in children[at]:
+                if c != heaviest and self.linked_text[c] <= self.bare[c] + self.solid[c]:
+                    left, loose = left + self.bare[c], loose + self.solid[c]
+            if total[heaviest] < most or loose > 0 or left > TINY * total[0]:
+                break
+            at = heaviest
+            if self.tags[at] in BLOCK and self.tags[at] not in NOT_A_CONTAINER:
+                best = at
         return self.paths[best], int(total[best])
 
+    def covers(self, path: str) -> bool:
+        """Whether the elements with this path hold most of the page's content."""
+        total = self.content()
+        inside = [False] * len(total)
+        held = 0.0
+        for node in range(1, len(total)):
+            mine = self.paths[node] == path and self.tags[node] in BLOCK
+            held += total[node] if mine and not inside[self.parents[node]] else 0
+            inside[node] = mine or inside[self.parents[node]]
+        return held >= MOST * total[0]
+
     def blocks(self, path: str | None) -> list[str]:
         """Blocks in page order below the elements with this generalised path (None: the whole page)."""
         inside = [path is None] * len(self.tags)

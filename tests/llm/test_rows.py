@@ -134,6 +134,37 @@ def test_consensus_beats_one_page(spark):
     assert [r["h"] for r in hosts.collect()] == ["a.b", "", ""]
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<body><article><h1>T</h1><div class=intro>Intro.</div><div class=body><p>%s</p></div></article></body>", ["T", "Intro.", "L"]),
+        ("<body><article><h1>T</h1><section><p>%s</p></section><section><p>Short.</p></section></article></body>", ["T", "L", "Short."]),
+        ("<body><div class=post><h1>T</h1><div class=lead><p>Lead.</p></div><div class=body><p>%s</p></div></div></body>", ["T", "Lead.", "L"]),
+        ("<body><div class=post><h1>T</h1><article><p>%s</p></article></div><p>Below.</p></body>", ["T", "L"]),
+        ("<body><div class=list><a href=a>One link</a> <a href=b>Two</a></div><div class=body><p>%s</p></div><div>x</div></body>", ["L"]),
+    ],
+)
+def test_containers_keep_the_whole_article(spark, html, want):
+    long = "A long sentence of the article. " * 20
+    page = Page(html % long)
+    want = [long.strip() if w == "L" else w for w in want]
+    assert page.blocks(page.best_container()[0]) == want
+    rows = [(k, "http://h.org/", html % long) for k in range(3)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r["text"] for r in out} == {"\n\n".join(want)}
+
+
+def test_rare_template_with_a_winning_box(spark):
+    usual = "<body><div class=top><p>%s</p></div></body>"
+    nested = "<body><div class=wrap><h1>T</h1><p>%s</p><div class=top><p>Teaser.</p></div></div></body>"
+    long = "A long sentence of the article. " * 20
+    rows = [(k, "http://h.org/%d" % k, usual % long) for k in range(20)] + [(20, "http://h.org/20", nested % long)]
+    rows += [(30 + k, "http://g.org/%d" % k, "<body><div class=wrap>" + usual[6:-7] % long + "</div></body>") for k in range(20)] + [(50, "http://g.org/x", nested % long)]
+    out = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert out[0] == out[30] == long.strip()
+    assert out[20] == out[50] == "T\n\n" + long.strip() + "\n\nTeaser."
+
+
 # -- languages ------------------------------------------------------------------------------------
 
 
