@@ -27,6 +27,15 @@ BOILERPLATE = frozenset(
     "shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags taboola teaser toc toolbar tooltip topbar widget widgets".split()
 )
 HEADER_WORDS = frozenset("header head".split())
+# Of these words, those that also name parts of an article; such a part goes only if it reads like no prose.
+AMBIGUOUS = frozenset(
+    "alert banner byline dialog discussion donate form notice notices promotion related reply respond search share sharing skip social tags teaser toc widget "
+    "widgets".split()
+)
+#: Elements that can be boilerplate by name; a heading, paragraph, item, cell or inline element cannot.
+NAMED = frozenset("div section ul ol dl aside header footer details fieldset center table figure hgroup".split())
+#: A part named by an ambiguous word is prose if it has so many characters outside links, and more than inside.
+PROSE_SIZE = 200
 # First words of classes that tell the state of a page, such as "has-sidebar".
 STATE_WORDS = frozenset("has with without no is".split())
 # An opening tag (left) ends an open element (right) that HTML lets end without its own tag.
@@ -61,24 +70,45 @@ class Page:
         self.dropped, self.header, self.in_main = [False], [False], [False]
         self.pieces: list[tuple[int, str | None, bool]] = []
         self.totals: list[float] | None = None
+        self.unsure: list[int] = []
         self.read(html)
+        if self.unsure:
+            self.settle()
 
     def open(self, tag: str, attributes: str, parent: int) -> int:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         classes = found.get("class", "").split()
         step = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
-        named = [WORDS.findall(c) for c in (*classes, found.get("id", ""), found.get("role", ""))] if found else []
-        words = {w.lower() for ws in named if ws and ws[0].lower() not in STATE_WORDS for w in ws}
+        structural = tag in NAMED or "-" in tag
+        named = [WORDS.findall(c) for c in (*classes, found.get("id", ""), found.get("role", ""))] if found and structural else []
+        words = {w.lower() for ws in named if ws and ws[0].lower() not in STATE_WORDS for w in (ws[0], ws[-1])} if named else set()
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        shell = tag in ("html", "body", "article", "main")
         self.tags.append(tag)
         self.parents.append(parent)
         self.paths.append(f"{self.paths[parent]}/{step}" if tag in BLOCK else self.paths[parent])
-        self.dropped.append(self.dropped[parent] or tag in NEVER_TEXT or hidden or (not shell and bool(words & BOILERPLATE)))
-        self.header.append((self.header[parent] or tag == "header" or (not shell and tag not in HEADING and bool(words & HEADER_WORDS))))
+        marks = words & BOILERPLATE
+        unsure = bool(marks) and marks <= AMBIGUOUS and (self.in_main[parent] or tag == "section")
+        self.dropped.append(self.dropped[parent] or tag in NEVER_TEXT or hidden or (bool(marks) and not unsure))
+        self.header.append(self.header[parent] or tag == "header" or bool(words & HEADER_WORDS))
         self.in_main.append(self.in_main[parent] or tag in ("article", "main"))
+        if unsure:
+            self.unsure.append(len(self.tags) - 1)
         return len(self.tags) - 1
 
+    def settle(self) -> None:
+        """Drop the parts with ambiguous names that hold little text or mostly links."""
+        free, linked = [0] * len(self.tags), [0] * len(self.tags)
+        for node, text, link in self.pieces:
+            if text and not self.dropped[node]:
+                (linked if link else free)[node] += len(text.strip())
+        for node in range(len(self.tags) - 1, 0, -1):
+            free[self.parents[node]] += free[node]
+            linked[self.parents[node]] += linked[node]
+        for node in self.unsure:
+            self.dropped[node] = self.dropped[node] or free[node] < PROSE_SIZE or linked[node] >= free[node]
+        for node in range(1, len(self.tags)):
+            self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]]
+
     def read(self, html: str) -> None:
         stack, tags = [0], self.tags
         at, links = 0, 0

@@ -154,6 +154,34 @@ def test_containers_keep_the_whole_article(spark, html, want):
     assert {r["text"] for r in out} == {"\n\n".join(want)}
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id='how-to-search'>%s</h2>",
+        "<p class='notice-of-change'>%s</p>",
+        "<table><tr><td class='form'>%s</td></tr></table>",
+        "<table><tr><th class='header'>%s</th></tr></table>",
+        "<p>See <span class='share'>%s</span></p>",
+        "<ul><li id='related'>%s</li></ul>",
+        "<section id='discussion'><p>%s</p></section>",
+        "<div class='how-to-search-well'>%s</div>",
+        "<div class='notice'><p>%s</p></div>",
+    ],
+)
+def test_named_parts_of_an_article_stay(part):
+    text = "What the part says in words. " * 9
+    assert text.strip() in "\n".join(Page(f"<body><article><p>First.</p>{part % text}</article></body>").blocks(None))
+
+
+def test_named_boilerplate_goes():
+    links = "<a href=x>A link to another page of the site</a> " * 9
+    named = ["<div class='cookie-notice'>%s</div>", "<div id=comments>%s</div>", "<ul class='nav'><li>%s</ul>", "<div class='sidebarRight'>%s</div>", "<div role=navigation>%s</div>"]
+    pages = [n % ("Words that go on for a while. " * 9) for n in named]
+    pages += [f"<div class='related-posts'>{links}</div>", f"<div class='share'>{links}</div>", "<div class='ad-slot'>Buy</div>", "<div class=byline>By me</div>", "<section id=search>Find</section>"]
+    for boilerplate in pages:
+        assert Page(f"<body><article><p>First.</p>{boilerplate}<p>Last.</p></article></body>").blocks(None) == ["First.", "Last."], boilerplate
+
+
 def test_rare_template_with_a_winning_box(spark):
     usual = "<body><div class=top><p>%s</p></div></body>"
     nested = "<body><div class=wrap><h1>T</h1><p>%s</p><div class=top><p>Teaser.</p></div></div></body>"
