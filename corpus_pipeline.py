@@ -30,10 +30,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id. Rows without an id stay."""
-    found = similar_documents(docs)
-    others = freeze(found.where("component_id <> doc_id").select("doc_id").distinct(), "others")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar rows the one with the smallest id; null ids come last, equal ids in the order of the table.
+
+    Groups are made of rows, not of ids: what else has the id of a copy stays.
+    """
+    numbered = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = freeze(similar_documents(numbered, id="_row").select(F.col("doc_id").alias("_row"), "component_id"), "similar")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("row"))
+    first = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["row"].alias("_row"))
+    others = freeze(found.join(first, "_row", "left_anti").select("_row"), "others")
+    return numbered.join(others, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,16 @@ def test_short_documents_keep_their_place(spark):
     assert kept == {i for i, _, _ in rows} - {200, 201}
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(7, a), (7, a), (7, a + " end"), (None, b), (None, b), (3, c), (9, c + " end"), (9, d), (None, c), (None, e), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    out = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert [i for i, _ in out].count(7) == 1 and dict(t for t in out if t[0] == 7)[7].startswith(a)
+    assert Counter(t for t in out if t[0] != 7) == Counter([(None, b), (3, c), (9, d), (None, e), (4, None), (4, None), (None, "")])
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
