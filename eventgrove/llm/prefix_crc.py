@@ -87,7 +87,7 @@ class RunningCrc:
     """Running registers of one scan over ``data``; ``of(start, end)`` gives CRCs of its substrings."""
 
     def __init__(self, data: np.ndarray) -> None:
-        lanes = -(-len(data) // LANE)
+        lanes = max(-(-len(data) // LANE), 1)
         padded = np.zeros(lanes * LANE, dtype=np.uint8)
         padded[: len(data)] = data
         columns = np.ascontiguousarray(padded.reshape(lanes, LANE).T)
