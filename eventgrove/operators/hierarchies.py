@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventgrove.operators.tree import root_path, tree_closure
+from eventgrove.operators.tree import root_path
 from eventgrove.plans.ordering import dense_index
 
 # The public event-type hierarchies, one "parent: children" line each.
@@ -109,7 +109,7 @@ def hierarchy_paths(edges: DataFrame) -> DataFrame:
         .join(ids.select(F.col("name").alias("parent"), F.col("id").alias("p")), "parent", "left")
         .select(F.col("c").alias("child"), F.col("p").alias("parent"))
     )
-    paths = root_path(tree_closure(numbered)).select("node", F.posexplode("path").alias("at", "id"))
+    paths = root_path(numbered).select("node", F.posexplode("path").alias("at", "id"))
     named = paths.join(ids, "id").where("at > 0")
     ordered = F.array_sort(F.collect_list(F.struct("at", "name")))
     return (

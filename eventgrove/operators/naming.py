@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventgrove import schemas
 from eventgrove.operators.mentions import kind_priority
-from eventgrove.operators.tree import leaves_of
+from eventgrove.operators.tree import leaves_of, path_fold
 
 DISTRIBUTION = "node bigint, token string, prob double"
 
@@ -71,21 +71,18 @@ def name_nodes(top: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tagged.groupBy("node").agg(F.min_by("lemma", F.struct(not_usable, "rank")).alias("name"))
 
 
-def path_names(closure: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, names) per leaf: names strictly between root and leaf, top-down, first of repeats kept."""
-    root = edges.where("parent is null").select(F.col("child").alias("ancestor"))
-    leaves = leaves_of(edges)
-    between = (
-        closure.where("distance > 0")
-        .join(leaves, "node")
-        .join(root, "ancestor", "left_anti")
-        .join(names.select(F.col("node").alias("ancestor"), "name"), "ancestor")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "name")))
-    named = between.groupBy("node").agg(F.array_distinct(F.transform(ordered, lambda s: s["name"])).alias("names"))
-    return leaves.join(named, "node", "left").select(
-        "node", F.coalesce("names", F.array().cast("array<string>")).alias("names")
-    )
+def path_names(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, names) per leaf: names strictly between root and leaf, top-down, first of repeats kept.
+
+    Stretches of paths are put together without repeats, so a row holds the distinct names of its path.
+    """
+    leaves = leaves_of(edges).withColumn("_leaf", F.lit(True))
+    nodes = edges.select(F.col("child").alias("node"), F.col("parent").alias("jump"))
+    named = nodes.join(names.select("node", "name"), "node", "left").join(leaves, "node", "left")
+    counts = F.col("name").isNotNull() & F.col("jump").isNotNull() & F.col("_leaf").isNull()
+    start = named.select("node", "jump", F.when(counts, F.array("name")).otherwise(F.array().cast("array<string>")).alias("names"))
+    folded = path_fold(start, {"names": lambda own, above: F.array_distinct(F.concat(above, own))}, "names")
+    return folded.join(leaves.select("node"), "node", "left_semi")
 
 
 def attach_event_types(corpus: DataFrame, named: DataFrame) -> DataFrame:

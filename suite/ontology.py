@@ -33,12 +33,14 @@ from eventgrove.operators.prompts import (
 from eventgrove.operators.tree import (
     linkage_to_edges,
     node_depth,
+    node_height,
     renumber_tree,
     rollup_distribution,
     rollup_son,
     root_path,
     tree_check,
     tree_closure,
+    tree_intervals,
 )
 from eventgrove.plans.scratch import freeze, scratch_path
 from eventgrove.sources.corpus import read_event_types, write_event_types
@@ -143,7 +145,30 @@ def e6_tree_closure(spark, sf_dir):
 
 @query("e7_node_depth", f"{_CLOSURE_SQL} SELECT node, max(distance) AS depth FROM up GROUP BY node")
 def e7_node_depth(spark, sf_dir):
-    return node_depth(tree_closure(geography(spark, sf_dir)))
+    return node_depth(geography(spark, sf_dir))
+
+
+@query(
+    "e6_tree_intervals",
+    # Zero-padded ids sort like numbers, so the order of the paths is the pre-order.
+    f"""{_CLOSURE_SQL},
+path AS (SELECT node, max(distance) AS depth, string_agg(printf('%012d', ancestor), '>' ORDER BY distance DESC) AS path FROM up GROUP BY node),
+placed AS (SELECT node, depth, row_number() OVER (ORDER BY path) - 1 AS first FROM path),
+sizes AS (SELECT ancestor AS node, count(*) AS size FROM up GROUP BY ancestor)
+SELECT node, depth, first, first + size AS last FROM placed JOIN sizes USING (node)""",
+)
+def e6_tree_intervals(spark, sf_dir):
+    return tree_intervals(geography(spark, sf_dir))
+
+
+@query(
+    "e10_node_height",
+    f"""{_CLOSURE_SQL},
+leaf AS (SELECT child AS node FROM geo WHERE child NOT IN (SELECT parent FROM geo WHERE parent IS NOT NULL))
+SELECT ancestor AS node, max(distance) AS height FROM up JOIN leaf USING (node) GROUP BY ancestor""",
+)
+def e10_node_height(spark, sf_dir):
+    return node_height(geography(spark, sf_dir))
 
 
 @query(
@@ -151,7 +176,7 @@ def e7_node_depth(spark, sf_dir):
     f"{_CLOSURE_SQL} SELECT node, string_agg(CAST(ancestor AS VARCHAR), '>' ORDER BY distance DESC) AS path FROM up GROUP BY node",
 )
 def e8_root_path(spark, sf_dir):
-    return root_path(tree_closure(geography(spark, sf_dir))).select("node", joined("path", ">").alias("path"))
+    return root_path(geography(spark, sf_dir)).select("node", joined("path", ">").alias("path"))
 
 
 def leaf_distribution(spark, sf_dir):
@@ -456,7 +481,7 @@ def _names(spark, sf_dir):
     rolled = rollup_distribution(leaf_distribution(spark, sf_dir), edges).withColumn("prob", F.round("prob", 9))
     lexicon = rolled.select("token").distinct().select("token", F.lit("NOUN").alias("pos"), F.upper("token").alias("lemma"))
     names = name_nodes(top_tokens(rolled, 2), lexicon)
-    return edges, path_names(tree_closure(edges), edges, names)
+    return edges, path_names(edges, names)
 
 
 @query(
