@@ -9,7 +9,6 @@ those rows are its result.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,20 +104,22 @@ def path_fold(nodes: DataFrame, folds: Mapping[str, Callable[[Column, Column], C
     node's value so far and that of the node its pointer has reached, which lies above. Each round joins the
     nodes that are still under way to all nodes and takes over the other's pointer.
     """
-    start = freeze(nodes.select("node", "jump", *folds), label)
-    todo, done = start.where("jump is not null"), [start.where("jump is null")]
-    left = todo.count()
-    for _ in range(left.bit_length() + 2):
-        if not left:
-            return reduce(DataFrame.unionByName, [d.select("node", *folds) for d in done])
-        above = reduce(DataFrame.unionByName, [todo, *done]).select(
-            F.col("node").alias("jump"), F.col("jump").alias("_next"), *(F.col(c).alias(f"_{c}") for c in folds)
-        )
+    spark, path = nodes.sparkSession, scratch_path(nodes.sparkSession, label)
+    layout = nodes.select("node", "jump", *folds).withColumn("round", F.lit(0)).withColumn("open", F.lit(True)).schema
+
+    def write(df: DataFrame, number: int) -> None:
+        marked = df.withColumn("round", F.lit(number)).withColumn("open", F.col("jump").isNotNull())
+        marked.write.partitionBy("round", "open").mode("append").parquet(path)
+
+    write(nodes.select("node", "jump", *folds), 0)
+    for number in range(nodes.count().bit_length() + 2):
+        written = spark.read.schema(layout).parquet(path)
+        todo, done = (F.col("round") == number) & F.col("open"), ~F.col("open")
+        if written.where(todo).isEmpty():
+            return written.where(done).select("node", *folds)
+        above = written.where(todo | done).select(F.col("node").alias("jump"), F.col("jump").alias("_next"), *(F.col(c).alias(f"_{c}") for c in folds))
         merged = [fold(F.col(c), F.col(f"_{c}")).alias(c) for c, fold in folds.items()]
-        step = freeze(todo.join(above, "jump").select("node", F.col("_next").alias("jump"), *merged), label)
-        done.append(step.where("jump is null"))
-        todo = step.where("jump is not null")
-        left = todo.count()
+        write(written.where(todo).join(above, "jump").select("node", F.col("_next").alias("jump"), *merged), number + 1)
     raise ValueError("the edges do not form a tree")
 
 

@@ -123,13 +123,22 @@ def test_rollup_son_in_parts(spark, case, cells):
     assert len(explicit) == len(values.collect())
 
 
+def chain(spark, n):
+    return spark.range(n).select(F.col("id").alias("child"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("parent"), F.lit(0).alias("label"))
+
+
 def test_deep_chain(spark):
     """100,000 nodes in a row: the closure would have 5e9 rows."""
     n = 100_000
-    edges = spark.range(n).select(F.col("id").alias("child"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("parent"), F.lit(0).alias("label"))
+    edges = chain(spark, n)
     found = tree_intervals(edges)
     off = found.where((F.col("depth") != n - 1 - F.col("node")) | (F.col("first") != F.col("depth")) | (F.col("last") != n))
     assert found.count() == n and off.count() == 0
+
+
+def test_rollups_of_a_chain(spark):
+    n = 2_000
+    edges = chain(spark, n)
     names = edges.select(F.col("child").alias("node"), (F.col("child") % 3).cast("string").alias("name"))
     assert path_names(edges, names).first()["names"] == [str((n - 2 - i) % 3) for i in range(3)]
     dist = spark.createDataFrame([(0, "a", 0.25), (0, "b", 0.75)], "node bigint, token string, prob double")
