@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from eventgrove.functions.hashing import BITS_RANGE, seeded_bits
 from eventgrove.plans.ordering import dense_index
 
 
@@ -61,18 +63,73 @@ def _may_follow(labels: Sequence[str]) -> np.ndarray:
     return allowed
 
 
-def _best_sequence(probs: np.ndarray, allowed: np.ndarray, may_start: np.ndarray) -> tuple[np.ndarray, float]:
-    score = np.where(may_start, probs[0], -np.inf)
-    back = np.zeros(probs.shape, dtype=np.int64)
-    for at in range(1, len(probs)):
-        reachable = np.where(allowed, score[:, None], -np.inf)
-        back[at] = reachable.argmax(axis=0)
-        score = reachable.max(axis=0) + probs[at]
-    path = np.empty(len(probs), dtype=np.int64)
-    path[-1] = score.argmax()
-    for at in range(len(probs) - 1, 0, -1):
-        path[at - 1] = back[at, path[at]]
-    return path, float(score.max())
+def best_sequences(probs: list[np.ndarray], labels: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(label numbers, score) of the best valid sequence of each matrix (positions x labels).
+
+    All sequences take a step together, the longest first, so those that have ended leave at the back.
+    Of equal ways the one over the first label counts.
+    """
+    allowed = np.where(_may_follow(labels), 0.0, -np.inf)
+    may_start = np.where([label.startswith("I") for label in labels], -np.inf, 0.0)
+    lengths = np.array([len(p) for p in probs])
+    order = np.argsort(-lengths, kind="stable")
+    longest = int(lengths.max(initial=0))
+    padded = np.zeros((len(probs), longest, len(labels)))
+    for row, i in enumerate(order):
+        padded[row, : lengths[i]] = probs[i]
+    score = padded[:, 0] + may_start
+    back = np.zeros(padded.shape, dtype=np.int32)
+    ended = lengths[order]
+    for at in range(1, longest):
+        alive = int(np.searchsorted(-ended, -at, side="left"))
+        reachable = score[:alive, :, None] + allowed
+        back[:alive, at] = reachable.argmax(axis=1)
+        score[:alive] = reachable.max(axis=1) + padded[:alive, at]
+    paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(probs)
+    last = score.argmax(axis=1)
+    held = np.zeros((len(probs), longest), dtype=np.int64)
+    for at in range(longest - 1, -1, -1):
+        alive = int(np.searchsorted(-ended, -at, side="left"))
+        held[:alive, at] = last[:alive]
+        last[:alive] = back[np.arange(alive), at, last[:alive]]
+    for row, i in enumerate(order):
+        paths[i] = held[row, : lengths[i]]
+    scores = np.empty(len(probs))
+    scores[order] = score.max(axis=1)
+    return paths, scores
+
+
+#: Numbers that one padded block of sequences holds.
+BLOCK_NUMBERS = 1 << 20
+
+
+def decode_bio_arrays(sequences: DataFrame, labels: Sequence[str], probs: str = "probs") -> DataFrame:
+    """``sequences`` with tags and score in place of ``probs``, an array of positions with an array of labels each.
+
+    Row-local: sequences are decoded in padded blocks of an Arrow batch. An empty or null sequence has no
+    tags and score 0.
+    """
+    names = np.array(list(labels), dtype=object)
+    kept = [f for f in sequences.schema.fields if f.name != probs]
+    schema = T.StructType([*kept, T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.array(m or [], dtype=float).reshape(-1, len(names)) for m in batch.column(probs).to_pylist()]
+            tags: list[list[str]] = [[]] * len(values)
+            scores = np.zeros(len(values))
+            todo = sorted((i for i, v in enumerate(values) if len(v)), key=lambda i: len(values[i]))
+            while todo:
+                size = max(1, BLOCK_NUMBERS // (len(values[todo[-1]]) * len(names)))
+                block, todo = todo[-size:], todo[:-size]
+                paths, best = best_sequences([values[i] for i in block], labels)
+                scores[block] = best
+                for i, path in zip(block, paths):
+                    tags[i] = names[path].tolist()
+            stays = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*stays, pa.array(tags, pa.list_(pa.string())), pa.array(scores)], names=schema.names)
+
+    return sequences.select(*(f.name for f in kept), probs).mapInArrow(decode, schema)
 
 
 def decode_bio(probs: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -80,19 +137,9 @@ def decode_bio(probs: DataFrame, labels: Sequence[str]) -> DataFrame:
 
     ``probs``: seq_id, pos, probs. One group is one sentence, so its size does not grow with the data.
     """
-    names = np.array(list(labels), dtype=object)
-    allowed = _may_follow(labels)
-    may_start = np.array([not label.startswith("I") for label in labels])
-
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("pos")
-        path, score = _best_sequence(np.stack(ordered["probs"].to_numpy()), allowed, may_start)
-        return pd.DataFrame({"seq_id": [rows["seq_id"].iloc[0]], "tags": [list(names[path])], "score": [score]})
-
-    kind = probs.schema["seq_id"].dataType.simpleString()
-    return probs.select("seq_id", "pos", "probs").groupBy("seq_id").applyInPandas(
-        decode, f"seq_id {kind}, tags array<string>, score double"
-    )
+    rows = F.array_sort(F.collect_list(F.struct("pos", "probs")))
+    sequences = probs.groupBy("seq_id").agg(F.transform(rows, lambda r: r["probs"]).alias("probs"))
+    return decode_bio_arrays(sequences, labels)
 
 
 def argmax_label(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
@@ -145,7 +192,7 @@ def train_validation_split(
         cut = int(placed.count() * fraction)
         validation, train = placed.where(F.col("_at") < cut).drop("_at"), placed.where(F.col("_at") >= cut).drop("_at")
     else:
-        share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+        share = seeded_bits(seed, F.col(key)) / float(BITS_RANGE)
         validation, train = df.where(share < fraction), df.where(share >= fraction)
     if max_train is not None:
         train = train.orderBy(key).limit(max_train)

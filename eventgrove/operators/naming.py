@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventgrove import schemas
+from eventgrove.functions.hashing import BITS_RANGE, seeded_bits
 from eventgrove.operators.mentions import kind_priority
 from eventgrove.operators.tree import leaves_of, path_fold
 
@@ -52,8 +53,7 @@ def top_tokens(dist: DataFrame, k: int = 100, sampling: bool = False, seed: int
     The limit on the row number lets Spark keep k rows per node and task before the shuffle.
     """
     if sampling:
-        bits = F.pmod(F.xxhash64(F.lit(seed), "node", "token"), F.lit(1 << 53))
-        uniform = (bits + 1) / F.lit(float(1 << 53))
+        uniform = (seeded_bits(seed, F.col("node"), F.col("token")) + 1) / F.lit(float(BITS_RANGE))
         key = F.log(uniform) / F.col("prob")
         dist = dist.where("prob > 0")
     else:

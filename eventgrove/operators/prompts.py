@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventgrove.functions.hashing import seeded_bits
 from eventgrove.functions.let import unpacked
 from eventgrove.functions.tokens import default_lemma, running_sum, token_form
 from eventgrove.operators.hierarchies import split_label
-from eventgrove.plans.ordering import dense_index
+from eventgrove.plans.ordering import POSITIONS_PER_PIECE, dense_index
 
 
 def flatten_maven(df: DataFrame) -> DataFrame:
@@ -41,9 +42,26 @@ def sentence_bounds(sentences: DataFrame) -> DataFrame:
 
 
 def locate_triggers(triggers: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
-    """Range join of document token indices to sentences: equal document, start <= index < end."""
-    inside = (F.col("trigger_start") >= F.col("start")) & (F.col("trigger_start") < F.col("end"))
-    return triggers.join(bounds, key).where(inside).withColumn("local_index", F.col("trigger_start") - F.col("start"))
+    """Each trigger with the bounds [start, end) of its document that hold ``trigger_start``, and its ``local_index``.
+
+    Bounds of a document do not overlap; empty ones hold nothing. Starts and triggers are sorted together,
+    and the last start before a trigger is the only one that can hold it. The sort is one over all documents,
+    cut into pieces, so a document with most of the rows is spread over many tasks, and the work grows with
+    the rows of both sides, not with their pairs.
+    """
+    starts = bounds.where("start < end").select(key, F.col("start").cast("bigint").alias("_pos"), F.lit(0).alias("_kind"))
+    points = triggers.where(F.col(key).isNotNull() & F.col("trigger_start").isNotNull())
+    points = points.select(key, F.col("trigger_start").cast("bigint").alias("_pos"), F.lit(1).alias("_kind")).distinct()
+    placed = dense_index(starts.unionByName(points), [F.col(key), F.col("_pos"), F.col("_kind")], "_at")
+    cut = placed.withColumn("_piece", F.floor(F.col("_at") / POSITIONS_PER_PIECE)).withColumn("_opened", F.when(F.col("_kind") == 0, F.col("_pos")))
+    inside = Window.partitionBy(key, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # Starts ascend, so the last one of the earlier pieces is the largest.
+    carried = cut.groupBy(key, "_piece").agg(F.max("_opened").alias("_last")).select(key, "_piece", F.max("_last").over(earlier).alias("_carried"))
+    held = cut.withColumn("_inside", F.max("_opened").over(inside)).where("_kind = 1").join(carried, [key, "_piece"])
+    held = held.select(key, F.col("_pos").alias("trigger_start"), F.coalesce("_inside", "_carried").alias("start"))
+    found = bounds.where("start < end").join(held, [key, "start"]).where(F.col("trigger_start") < F.col("end"))
+    return triggers.join(found, [key, "trigger_start"]).withColumn("local_index", F.col("trigger_start") - F.col("start"))
 
 
 def flatten_rams(df: DataFrame) -> DataFrame:
@@ -97,7 +115,7 @@ def sample_demonstrations(targets: DataFrame, demos: DataFrame, k: int, seed: in
     numbered = dense_index(demos, [F.col("input"), F.col("output"), F.col("predicate")], "_demo")
     n = numbered.count()
     draws = targets.select("target_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
-    chosen = draws.withColumn("_demo", F.pmod(F.xxhash64(F.lit(seed), "target_id", "draw"), F.lit(n)))
+    chosen = draws.withColumn("_demo", seeded_bits(seed, F.col("target_id"), F.col("draw")) % n)
     return chosen.join(numbered, "_demo").drop("_demo")
 
 

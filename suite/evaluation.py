@@ -20,7 +20,7 @@ from eventgrove.operators.evaluate import (
 )
 from eventgrove.operators.mentions import annotate
 from eventgrove.operators.spans import frame_spans
-from suite.base import FRAME_SQL, conversations, query, table, texts
+from suite.base import CORPUS_SQL, FRAME_SQL, conversations, query, table, texts
 from suite.ontology import event_shares
 
 
@@ -94,7 +94,27 @@ def g4_binary_prf(spark, sf_dir):
     return scores.select("correct", "predicted", "gold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("g5_decode_bio")
+def _decode_sql() -> str:
+    """Best way to each label, token by token: {s: score, p: labels so far}. Of equal ways the one over the first label."""
+    names = ["O", "B-ARG0", "I-ARG0", "B-ARG1", "I-ARG1"]
+    before = lambda j: [i for i, n in enumerate(names) if not names[j].startswith("I") or i == j or n == "B" + names[j][1:]]
+    first = lambda ways: f"list_sort([{', '.join(ways)}], 'DESC')[1]"
+    reach = lambda j: first([f"{{'s': w[{i + 1}].s, 'k': -{i}, 'p': w[{i + 1}].p}}" for i in before(j)])
+    step = ", ".join(f"{{'s': ({reach(j)}).s + x[{j + 1}].s, 'k': 0, 'p': ({reach(j)}).p || ' {names[j]}'}}" for j in range(len(names)))
+    start = ", ".join(f"{{'s': {'-1e300::DOUBLE' if n.startswith('I') else f'x[{j + 1}].s'}, 'k': 0, 'p': '{n}'}}" for j, n in enumerate(names))
+    best = first([f"{{'s': w[{j + 1}].s, 'k': -{j}, 'p': w[{j + 1}].p}}" for j in range(len(names))])
+    shares = ", ".join(f"{{'s': {x} / total, 'k': 0, 'p': ''}}" for x in "abcde")
+    return f"""WITH {CORPUS_SQL},
+raw AS (
+  SELECT sent_id AS seq_id, tok_idx, length(token) / (length(token) + 1.0::DOUBLE) AS a, length(token) / 10.0::DOUBLE AS b, 1 / (1.0::DOUBLE + length(token)) AS c,
+         CASE WHEN token = '' THEN 0 ELSE unicode(token) END / 200.0::DOUBLE AS d, length(token) / 7.0::DOUBLE AS e FROM tok),
+shares AS (SELECT seq_id, tok_idx, [{shares}] AS x FROM (SELECT *, a + b + c + d + e AS total FROM raw)),
+seq AS (SELECT seq_id, list(x ORDER BY tok_idx) AS xs FROM shares GROUP BY seq_id),
+ways AS (SELECT seq_id, list_reduce(list_prepend(list_transform([xs[1]], lambda x: [{start}])[1], xs[2:]), lambda w, x: [{step}]) AS w FROM seq)
+SELECT seq_id, best.p AS tags, round(best.s, 6) AS score FROM (SELECT seq_id, {best} AS best FROM ways)"""
+
+
+@query("g5_decode_bio", _decode_sql())
 def g5_decode_bio(spark, sf_dir):
     """Probabilities from token shapes; many tokens prefer an I- tag that must not come first."""
     corpus = conversations(spark, sf_dir).select(F.col("sent_id").alias("seq_id"), F.posexplode("tokens").alias("pos", "t"))
@@ -173,7 +193,10 @@ def g10_train_validation_split(spark, sf_dir):
     )
 
 
-@query("g10_hash_split")
+@query(
+    "g10_hash_split",
+    """SELECT CASE WHEN ('0x' || substr(md5('42|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.1 THEN 'validation' ELSE 'train' END AS part, doc_id FROM labels""",
+)
 def g10_hash_split(spark, sf_dir):
     train, validation = train_validation_split(table(spark, sf_dir, "labels"), "doc_id", seed=42)
     return train.select(F.lit("train").alias("part"), "doc_id").unionByName(

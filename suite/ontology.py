@@ -312,7 +312,14 @@ def _targets_and_demos(spark, sf_dir):
     return prompt_rows(annotate(corpus)), demonstrations(flatten_ace(ace_shape(corpus)), "ace2005")
 
 
-@query("f7_sample_demonstrations")
+@query(
+    "f7_sample_demonstrations",
+    f"""WITH {FRAME_SQL},
+demo AS (SELECT sentence AS input, kind AS output, token AS predicate, row_number() OVER (ORDER BY sentence, kind, token) - 1 AS place FROM mention JOIN corpus USING (sent_id)),
+target AS (SELECT sent_id || '#' || frame AS target_id, unnest(range(8)) AS draw FROM frame),
+drawn AS (SELECT target_id, CAST(draw AS INTEGER) AS draw, ('0x' || substr(md5(concat_ws('|', '42', target_id, draw)), 1, 13))::BIGINT % (SELECT count(*) FROM demo) AS place FROM target)
+SELECT target_id, draw, input, output, predicate FROM drawn JOIN demo USING (place)""",
+)
 def f7_sample_demonstrations(spark, sf_dir):
     return sample_demonstrations(*_targets_and_demos(spark, sf_dir), k=8, seed=42)
 
@@ -439,7 +446,13 @@ def f11_top_tokens(spark, sf_dir):
     return top_tokens(event_shares(spark, sf_dir), 3).withColumn("prob", F.round("prob", 6))
 
 
-@query("f11_sampled_tokens")
+@query(
+    "f11_sampled_tokens",
+    f"""WITH {_SHARE_SQL},
+k AS (SELECT *, ln((('0x' || substr(md5(concat_ws('|', '42', node, token)), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / prob AS k FROM share),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY k DESC, token) - 1 AS INTEGER) AS rank FROM k)
+SELECT node, token, round(prob, 6) AS prob, rank FROM r WHERE rank < 3""",
+)
 def f11_sampled_tokens(spark, sf_dir):
     return top_tokens(event_shares(spark, sf_dir), 3, sampling=True, seed=42).withColumn("prob", F.round("prob", 6))
 

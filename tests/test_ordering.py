@@ -63,3 +63,23 @@ def test_frozen_tables_live_in_the_configured_folder(spark, tmp_path):
     assert shared_dir(spark) == shared_dir(other)
     frozen = freeze(spark.range(5), "t")
     assert frozen.count() == 5 and shared_dir(spark) in frozen.inputFiles()[0]
+
+
+def test_bounds_that_hold_triggers(spark):
+    """One document holds nearly all sentences and triggers; gaps, empty sentences and repeats are in it."""
+    from eventgrove.operators.prompts import locate_triggers
+
+    n = 30_000
+    bounds = [("hot", i, 10 * i + (i % 3), 10 * i + (i % 3) + (0 if i % 11 == 0 else 7)) for i in range(n)] + [("cold", 0, 5, 9), (None, 1, 0, 99)]
+    triggers = [("hot", (i * 7919) % (10 * n)) for i in range(n)] + [("hot", 3), ("hot", 3), ("cold", 4), ("cold", 5), ("cold", 9), ("none", 1), (None, 1), ("hot", None)]
+    got = locate_triggers(
+        spark.createDataFrame(triggers, "doc string, trigger_start int"), spark.createDataFrame(bounds, "doc string, sent int, start int, end int"), "doc"
+    )
+    want = []
+    for doc, at in triggers:
+        if doc == "hot" and at is not None:
+            for i in (at // 10 - 1, at // 10):
+                if 0 <= i < n and bounds[i][2] <= at < bounds[i][3]:
+                    want.append((doc, at, i, at - bounds[i][2]))
+    want.append(("cold", 5, 0, 0))
+    assert sorted((r["doc"], r["trigger_start"], r["sent"], r["local_index"]) for r in got.collect()) == sorted(want)
