@@ -31,24 +31,25 @@ MIN_CELL_DOCS = 100
 
 @dataclass(frozen=True)
 class Fence:
-    """Upper bound q75 + spread * (q75 - q25), held between floor and ceiling; with ``two_sided``, also a lower one.
+    """Bounds of a metric from two quantiles (percent) of a sketch: ``spread`` times their distance beyond them.
 
-    For a two-sided metric the distance beyond the quartiles is spread * (q75 - q25), ``floor`` at least
-    and ``ceiling`` at most.
+    The upper one is high + spread * (high - low); with ``two_sided`` there is also low - spread * (high - low).
     """
 
     metric: str
+    low: int
+    high: int
     spread: int
-    floor: int
-    ceiling: int
     two_sided: bool = False
 
 
+#: The shares are 0 for most documents, so their quantiles lie high; that of symbols lies lower, as junk may
+#: be one document in twelve.
 FENCES = (
-    Fence("symbol_share", 3, 300, 1500),
-    Fence("dup_line_share", 3, 4000, 6000),
-    Fence("repeat_share", 3, 2500, 5000),
-    Fence("word_length", 6, 150, 400, two_sided=True),
+    Fence("symbol_share", 50, 90, 3),
+    Fence("dup_line_share", 50, 99, 1),
+    Fence("repeat_share", 50, 99, 1),
+    Fence("word_length", 25, 75, 6, two_sided=True),
 )
 
 
@@ -121,27 +122,24 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, docs, q25, q75). A window holds the bins of one sketch, of which there are some thousands at most."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, docs, low, high): the two quantiles of each fence. A window holds the bins of one sketch, some thousands at most."""
     of = Window.partitionBy(*keys, "metric")
     counted = sketch.withColumn("docs", F.sum("n").over(of)).withColumn("upto", F.sum("n").over(of.orderBy("bin")))
-    reached = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, F.col("bin")))
-    return counted.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), reached(25).alias("q25"), reached(75).alias("q75"))
+    percent = lambda side: reduce(lambda out, f: out.when(F.col("metric") == f.metric, getattr(f, side)), FENCES, F)
+    reached = lambda side: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * percent(side), F.col("bin"))).alias(side)
+    return counted.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), reached("low"), reached("high"))
 
 
-def bounds(quartile: DataFrame, keys: list[str]) -> DataFrame:
+def bounds(quantile: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, docs, low_<metric>, high_<metric>): one row for each cell."""
     columns = [F.max("docs").alias("docs")]
     for f in FENCES:
         mine = lambda c, m=f.metric: F.max(F.when(F.col("metric") == m, F.col(c)))
-        spread = (mine("q75") - mine("q25")) * f.spread
-        if f.two_sided:
-            slack = F.least(F.greatest(spread, F.lit(f.floor)), F.lit(f.ceiling))
-            columns += [(mine("q25") - slack).alias(f"low_{f.metric}"), (mine("q75") + slack).alias(f"high_{f.metric}")]
-        else:
-            high = F.least(F.greatest(mine("q75") + spread, F.lit(f.floor)), F.lit(f.ceiling))
-            columns += [F.lit(0).cast("bigint").alias(f"low_{f.metric}"), high.alias(f"high_{f.metric}")]
-    return quartile.groupBy(*keys).agg(*columns)
+        slack = (mine("high") - mine("low")) * f.spread
+        least = mine("low") - slack if f.two_sided else F.lit(0).cast("bigint")
+        columns += [least.alias(f"low_{f.metric}"), (mine("high") + slack).alias(f"high_{f.metric}")]
+    return quantile.groupBy(*keys).agg(*columns)
 
 
 def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -167,9 +165,9 @@ def quality_rules(df: DataFrame, id: str = "doc_id", text: str = "text", lang: s
     cell = freeze(sketches(metrics, ["lang", "source"]), "sketch")
     language = merged(cell, ["lang"])
     levels = [
-        (bounds(quartiles(cell, ["lang", "source"]), ["lang", "source"]), ["lang", "source"], "cell"),
-        (bounds(quartiles(language, ["lang"]), ["lang"]), ["lang"], "lang"),
-        (bounds(quartiles(merged(language, []), []), []), [], "all"),
+        (bounds(quantiles(cell, ["lang", "source"]), ["lang", "source"]), ["lang", "source"], "cell"),
+        (bounds(quantiles(language, ["lang"]), ["lang"]), ["lang"], "lang"),
+        (bounds(quantiles(merged(language, []), []), []), [], "all"),
     ]
     cells = metrics.select("lang", "source").distinct()
     for level, keys, name in levels:

@@ -83,14 +83,12 @@ lvl AS (
 cum AS (
   SELECT *, sum(n) OVER w AS docs, sum(n) OVER (w ORDER BY bin) AS upto FROM lvl WINDOW w AS (PARTITION BY level, lang, source, metric)),
 qs AS (
-  SELECT level, lang, source, metric, max(docs) AS docs, min(bin) FILTER (upto * 100 >= docs * 25) AS q25, min(bin) FILTER (upto * 100 >= docs * 75) AS q75
+  SELECT level, lang, source, metric, max(docs) AS docs, min(bin) FILTER (upto * 100 >= docs * CASE metric WHEN 'word_length' THEN 25 ELSE 50 END) AS a,
+         min(bin) FILTER (upto * 100 >= docs * CASE metric WHEN 'word_length' THEN 75 WHEN 'symbol_share' THEN 90 ELSE 99 END) AS b
   FROM cum GROUP BY ALL),
 fence AS (
-  SELECT *, CASE metric WHEN 'word_length' THEN q25 - least(greatest(6 * (q75 - q25), 150), 400) ELSE 0 END AS low,
-         CASE metric WHEN 'symbol_share' THEN least(greatest(q75 + 3 * (q75 - q25), 300), 1500)
-              WHEN 'dup_line_share' THEN least(greatest(q75 + 3 * (q75 - q25), 4000), 6000)
-              WHEN 'repeat_share' THEN least(greatest(q75 + 3 * (q75 - q25), 2500), 5000)
-              ELSE q75 + least(greatest(6 * (q75 - q25), 150), 400) END AS high
+  SELECT *, CASE metric WHEN 'word_length' THEN a - 6 * (b - a) ELSE 0 END AS low,
+         b + (b - a) * CASE metric WHEN 'word_length' THEN 6 WHEN 'symbol_share' THEN 3 ELSE 1 END AS high
   FROM qs WHERE docs >= 100 OR level = 'all'),
 pick AS (
   SELECT DISTINCT m.lang, m.source, f.metric,
