@@ -18,17 +18,23 @@ CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 1_024
 #: Entries read from each list in the first step; each step reads twice as many as the one before.
 FIRST_DEPTH = 16
-#: A vector with a larger component (after scaling) takes no part.
-LARGEST = 1 << 26
 #: Sums of products below these are exact in floats and in longs; beyond, Python integers are used.
 FLOAT_EXACT, LONG_EXACT = 1 << 53, 1 << 63
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
-    """Components as floor(scale * x), with x as double; null if the vector takes no part."""
-    doubles = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    usable = F.forall(vector, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * scale < LARGEST), F.lit(False)))
-    return F.when(usable, F.transform(doubles, lambda x: x.cast("bigint")))
+    """Components as floor(scale * x), with x as double, as whole doubles; null if the vector takes no part.
+
+    A double from 2**53 on is whole, so it needs no floor (which would pass through a long).
+    """
+    whole = lambda x: F.when(F.abs(x) < float(FLOAT_EXACT), F.floor(F.when(F.abs(x) < float(FLOAT_EXACT), x)).cast("double")).otherwise(x)
+    usable = F.forall(vector, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < float("inf")), F.lit(False)))
+    return F.when(usable, F.transform(vector, lambda x: whole(x.cast("double") * scale)))
+
+
+def whole_numbers(rows: np.ndarray) -> np.ndarray:
+    """Whole doubles as longs, or as Python integers where one does not fit."""
+    return rows.astype(np.int64) if np.abs(rows).max(initial=0) < float(1 << 62) else np.array([[int(x) for x in r] for r in rows], dtype=object)
 
 
 class SortedLists:
@@ -37,7 +43,7 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.largest = int(np.abs(vectors).max(initial=0))
+        self.largest = int(np.abs(vectors).max(initial=0)) if vectors.dtype != object else max(abs(x) for x in vectors.ravel())
         # Only vectors whose sums with one of their own size fit are held as floats.
         self.exact_float = self.most(self.largest) < FLOAT_EXACT
         self.scores_from = self.vectors.astype(np.float64) if self.exact_float else self.vectors
@@ -52,8 +58,8 @@ class SortedLists:
         """(ids, scores) of the k best rows whose id is not ``own``, ties to the smaller id."""
         n = len(self.ids)
         axes = np.flatnonzero(query)
-        most = self.most(int(np.abs(query).max(initial=0)))
-        floats, longs = self.exact_float and most < FLOAT_EXACT, most < LONG_EXACT
+        most = self.most(max((abs(x) for x in query.tolist()), default=0))
+        floats, longs = self.exact_float and most < FLOAT_EXACT, most < LONG_EXACT and object not in (query.dtype, self.vectors.dtype)
         weigh = query.astype(np.float64) if floats else query if longs else query.astype(object)
         weights = query[axes] if longs else weigh[axes]
         falling = weights > 0
@@ -95,8 +101,8 @@ class SortedLists:
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query, ties to the smaller id.
 
-    * Rows with a null id take no part, nor do vectors that are null or have a null, non-finite or (beyond
-      2**26 after scaling) huge component. Shorter vectors count as padded with zeros; an empty vector scores 0.
+    * Rows with a null id take no part, nor do vectors that are null or have a null or non-finite component.
+      Scores are exact whatever their size; one beyond a long is reported (and tied) as the last long. Shorter vectors count as padded with zeros; an empty vector scores 0.
     * Equal rows count once. Rows that share the query's id are its own. Where an id has several vectors,
       a pair of ids has its largest score.
     * Fewer than k other rows give fewer results; an empty table gives none.
@@ -112,10 +118,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vecto
     queries = rows.where("asks").select("id", "v", cut(q_blocks, 2).alias("q_block"), every(n_blocks).alias("c_block"))
 
     def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-        out = np.zeros((len(vectors), width), dtype=np.int64)
+        out = np.zeros((len(vectors), width))
         for i, v in enumerate(vectors):
             out[i, : len(v)] = v
-        return out
+        return whole_numbers(out)
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -124,7 +130,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vecto
             lists = SortedLists(c["id"].to_numpy(dtype=np.int64), matrix(c["v"], width))
             for own, query in zip(q["id"].to_numpy(dtype=np.int64), matrix(q["v"], width)):
                 ids, scores = lists.top(query, own, k)
-                parts.append((np.full(len(ids), own), ids, scores))
+                fits = scores if scores.dtype == np.int64 else np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores], dtype=np.int64)
+                parts.append((np.full(len(ids), own), ids, fits))
         names = ("query_id", "vec_id", "score")
         return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i, n in enumerate(names)})
 
