@@ -23,11 +23,12 @@ from eventgrove.functions.vectors import as_double
 from eventgrove.plans.ordering import dense_index, group_rank
 from eventgrove.plans.scratch import freeze
 
-# Rows of one search task on either side, clusters per pivot, most pivots, and the rest that one small task finishes.
+# Rows of one search task on either side, clusters per pivot, most pivots. What fits one block is searched by one
+# task in any case, so that task merges it to the end.
 BLOCK_ROWS = 1024
 CELL_ROWS = 256
 MAX_PIVOTS = 2048
-TAIL_ROWS = 256
+TAIL_ROWS = BLOCK_ROWS
 
 # Provisional ids: a leaf is its own id, the merge of a round is (round + 1) * LEAVES + a leaf of it.
 LEAVES = 1 << 40
@@ -237,22 +238,42 @@ def _finish(first_round: int):
         if not rows:
             return
         left = pd.concat(rows).sort_values("cluster")
-        ids, sizes, heights = left["cluster"].to_list(), left["size"].to_list(), left["height"].to_list()
-        points = list(np.stack(left["centroid"].to_numpy()))
+        n = len(left)
+        slots = 2 * n - 1  # the clusters given, then each merge as it is made
+        ids, sizes, heights = np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64), np.zeros(slots)
+        ids[:n], sizes[:n], heights[:n] = left["cluster"], left["size"], left["height"]
+        points = np.zeros((slots, len(left["centroid"].iloc[0])))
+        points[:n] = np.stack(left["centroid"].to_numpy())
+        # Distances to later slots, and the nearest of them: a merge changes one column and the rows that pointed to its parts.
+        gaps = np.full((slots, slots), np.inf)
+        size = sizes[:n].astype(np.float64)
+        gaps[:n, :n] = _ward(size[:, None], size[None, :], _squared_gaps(points[:n], points[:n]))
+        gaps[np.tril_indices(slots)] = np.inf
+        nearest = gaps.argmin(axis=1)
+        distance = gaps[np.arange(slots), nearest]
+        alive = np.arange(slots) < n
         done = []
-        while len(ids) > 1:
-            size = np.array(sizes, dtype=np.float64)
-            gaps = _ward(size[:, None], size[None, :], _squared_gaps(np.array(points), np.array(points)))
-            gaps[np.tril_indices(len(ids))] = np.inf
-            i, j = np.unravel_index(gaps.argmin(), gaps.shape)
+        for new in range(n, slots):
+            i = int(distance.argmin())
+            j = int(nearest[i])
             turn = first_round + len(done)
-            merged = (turn + 1) * LEAVES + min(ids[i] % LEAVES, ids[j] % LEAVES)
-            total, height = sizes[i] + sizes[j], max(gaps[i, j], heights[i], heights[j])
-            point = (points[i] * sizes[i] + points[j] * sizes[j]) / total
-            done.append((merged, ids[i], ids[j], height, total, turn))
-            for part in (j, i):
-                del ids[part], sizes[part], heights[part], points[part]
-            ids.append(merged), sizes.append(total), heights.append(height), points.append(point)
+            ids[new] = (turn + 1) * LEAVES + min(ids[i] % LEAVES, ids[j] % LEAVES)
+            sizes[new], heights[new] = sizes[i] + sizes[j], max(gaps[i, j], heights[i], heights[j])
+            points[new] = (points[i] * sizes[i] + points[j] * sizes[j]) / sizes[new]
+            done.append((ids[new], ids[i], ids[j], heights[new], sizes[new], turn))
+            alive[[i, j]] = False
+            gaps[[i, j]] = gaps[:, [i, j]] = np.inf
+            distance[[i, j]] = np.inf
+            others = np.flatnonzero(alive)
+            found = _ward(sizes[others].astype(np.float64), float(sizes[new]), _squared_gaps(points[others], points[new : new + 1])[:, 0])
+            gaps[others, new] = found
+            closer = found < distance[others]
+            lost = (nearest[others] == i) | (nearest[others] == j)
+            nearest[others[closer]], distance[others[closer]] = new, found[closer]
+            for row in others[lost]:
+                nearest[row] = gaps[row].argmin()
+                distance[row] = gaps[row, nearest[row]]
+            alive[new] = True
         yield pd.DataFrame(done, columns=["merge", "left", "right", "height", "size", "round"])
 
     return run

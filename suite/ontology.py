@@ -59,6 +59,20 @@ def e1_ward_linkage(spark, sf_dir):
     return merges.withColumn("height", F.round("height", 6))
 
 
+@query(
+    "e1_ward_squares",
+    # A merge at height h adds h * h / 2 to the squares within clusters, so all merges add up to those around the mean.
+    """WITH x AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+SELECT count(DISTINCT vec_id) - 1 AS merges, max(vec_id) + 1 AS largest, round(sum((x - m) * (x - m)), 4) AS squares FROM x JOIN m USING (i)""",
+)
+def e1_ward_squares(spark, sf_dir):
+    merges = ward_linkage(embedding_features(spark, sf_dir))
+    return merges.agg(
+        F.count(F.lit(1)).alias("merges"), F.max("size").alias("largest"), F.round(F.sum(F.col("height") * F.col("height") / 2), 4).alias("squares")
+    )
+
+
 @query(
     "e1_ward_copies",
     # Copies merge at height 0, whatever the shape of their subtree.

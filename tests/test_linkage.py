@@ -71,3 +71,12 @@ def test_ids_must_be_dense(spark):
 def test_one_leaf_has_no_merge(spark):
     rows = spark.createDataFrame([(0, [1.0])], "id bigint, features array<double>")
     assert linkage.ward_linkage(rows).count() == 0
+
+
+def test_one_task_alone_equals_greedy_merging(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 3)) + 6 * rng.integers(0, 4, size=(300, 1))
+    merges, members = run(spark, points)
+    heights, sets = greedy_ward(points)
+    assert {members[m] for m in merges["merge"]} == sets
+    assert np.allclose(merges["height"], heights, atol=1e-9)
