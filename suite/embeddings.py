@@ -18,6 +18,7 @@ from eventgrove.operators.embeddings import (
     project_vectors,
 )
 from eventgrove.operators.mentions import annotate
+from eventgrove.operators.projection import apply_projection, fit_projection
 from suite.base import CORPUS_SQL, FRAME_SQL, benchmark_lemmas, conversation_mentions, conversations, joined, query, table
 from suite.salience import BENCH_SQL
 from suite.spans import piece_counts
@@ -266,3 +267,45 @@ def d10_embedding_quality(spark, sf_dir):
     triplets = rows.select(part(1).alias("anchor"), part(17).alias("positive"), part(33).alias("negative"))
     quality = embedding_quality(pairs, triplets)
     return quality.select(*[F.round(c, 6).alias(c) for c in quality.columns])
+
+
+@query(
+    "d9_fitted_projection",
+    # Axes of full width keep every distance: each vector's squared distance from the mean, and their sum over the axes.
+    """WITH x AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+SELECT vec_id AS id, round(sum((x - m) * (x - m)), 6) AS squared_distance FROM x JOIN m USING (i) GROUP BY vec_id""",
+)
+def d9_fitted_projection(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    projected = apply_projection(rows, fit_projection(rows, 64, passes=2))
+    squares = F.aggregate("features", F.lit(0.0), lambda total, x: total + x * x)
+    return projected.select("id", F.round(squares, 6).alias("squared_distance"))
+
+
+@query(
+    "d9_fitted_variance",
+    # The projected coordinates are centred and uncorrelated, and the first axis holds more than any column does.
+    """SELECT 8 AS axes, true AS centred, true AS uncorrelated, true AS falling, true AS first_is_largest, count(*) AS rows FROM embeddings""",
+)
+def d9_fitted_variance(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("features"))
+    fitted = fit_projection(rows, 8, passes=20)
+    own = table(spark, sf_dir, "embeddings").select([F.var_pop(F.get("embedding", F.lit(i)).cast("double")).alias(f"c{i}") for i in range(64)])
+    at = lambda i: F.get("features", F.lit(i))
+    pairs = [(i, j) for i in range(8) for j in range(i)]
+    checks = apply_projection(rows, fitted).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.greatest(*(F.abs(F.avg(at(i))) for i in range(8))).alias("offset"),
+        F.greatest(*(F.abs(F.corr(at(i), at(j))) for i, j in pairs)).alias("shared"),
+        F.array(*(F.var_pop(at(i)) for i in range(8))).alias("spread"),
+    )
+    largest = own.select(F.greatest(*(F.col(f"c{i}") for i in range(64))).alias("largest"))
+    return checks.join(F.broadcast(largest), F.lit(True)).select(  # one row on either side
+        F.size("spread").alias("axes"),
+        (F.col("offset") < 1e-9).alias("centred"),
+        (F.col("shared") < 1e-6).alias("uncorrelated"),
+        (F.col("spread") == F.sort_array("spread", asc=False)).alias("falling"),
+        (F.get("spread", F.lit(0)) >= F.col("largest") * (1 - 1e-6)).alias("first_is_largest"),
+        "rows",
+    )
