@@ -9,6 +9,7 @@ from eventgrove.functions import tags as tg
 from eventgrove.functions.let import let, unpacked
 from eventgrove.functions.tokens import positions_where
 from eventgrove.operators.spans import parse_arguments
+from eventgrove.sources.blocks import SPLIT_BYTES, register
 
 BAR = "|||"
 # Section markers and prefix of the ontology text.
@@ -152,6 +153,13 @@ def read_conll(spark: SparkSession, path: str, suffix: str = "gold_conll", domai
     return parse_conll(blocks)
 
 
+def read_conll_blocks(spark: SparkSession, path: str, suffix: str = "gold_conll", domain: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``read_conll`` through the block source: files with CRLF split too, files of other domains are not opened."""
+    register(spark)
+    reader = spark.read.format("text_blocks").option("suffix", suffix).option("splitBytes", split_bytes)
+    return parse_conll((reader.option("domain", domain) if domain else reader).load(path))
+
+
 def conll_instances(sentences: DataFrame) -> DataFrame:
     """(tokens, indicator, tags) per frame; a sentence without frames gives one all-``O`` instance."""
     blank = F.array(F.struct(F.lit(None).cast("string").alias("predicate"), F.transform("words", lambda w: F.lit("O")).alias("tags")))

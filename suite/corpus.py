@@ -16,6 +16,7 @@ from eventgrove.sources.annotated import (
     predicate_indicator,
     predicates_by_sentence,
     read_conll,
+    read_conll_blocks,
     read_ontology_edges,
     read_prep_lines,
     read_span_lines,
@@ -242,21 +243,32 @@ def conll_blocks(spark, sf_dir):
     return conversations(spark, sf_dir).select(F.concat(text, F.lit("\n")).alias("value"))
 
 
-@query(
-    "a11_read_conll",
-    f"""WITH {FRAME_SQL},
+_CONLL_SQL = f"""WITH {FRAME_SQL},
 t AS (SELECT sent_id, frame, any_value(predicate) AS predicate, string_agg(tag, ' ' ORDER BY tok_idx) AS tags FROM tag GROUP BY sent_id, frame)
-SELECT 'conv/' || c.doc_id AS doc_id, array_to_string(c.tokens, ' ') AS words, t.predicate, t.tags FROM corpus c LEFT JOIN t USING (sent_id)""",
-)
-def a11_read_conll(spark, sf_dir):
-    path = scratch_path(spark, "conll")
-    conll_blocks(spark, sf_dir).write.text(path)
-    sentences = read_conll(spark, path, suffix=".txt")
+SELECT 'conv/' || c.doc_id AS doc_id, array_to_string(c.tokens, ' ') AS words, t.predicate, t.tags FROM corpus c LEFT JOIN t USING (sent_id)"""
+
+
+def _conll_rows(sentences):
     return sentences.select("doc_id", joined("words").alias("words"), F.explode_outer("frames").alias("f")).select(
         "doc_id", "words", F.col("f.predicate").alias("predicate"), joined("f.tags").alias("tags")
     )
 
 
+@query("a11_read_conll", _CONLL_SQL)
+def a11_read_conll(spark, sf_dir):
+    path = scratch_path(spark, "conll")
+    conll_blocks(spark, sf_dir).write.text(path)
+    return _conll_rows(read_conll(spark, path, suffix=".txt"))
+
+
+@query("a11_conll_blocks", _CONLL_SQL)
+def a11_conll_blocks(spark, sf_dir):
+    # The same text with the other line ends, in splits far shorter than a file.
+    path = scratch_path(spark, "conll-crlf")
+    conll_blocks(spark, sf_dir).select(F.regexp_replace("value", "\n", "\r\n")).write.option("lineSep", "\r\n").text(path)
+    return _conll_rows(read_conll_blocks(spark, path, suffix=".txt", split_bytes=100_000))
+
+
 def preposition_lines(spark, sf_dir):
     rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     renamed = F.transform(

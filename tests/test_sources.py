@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventgrove.operators.corpus import validate_corpus
@@ -189,3 +190,34 @@ def test_annotation_of_a_stream(spark, tmp_path):
     run.awaitTermination(60)
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert [(m["kind"], m["tok_idx"], m["lemma"]) for m in row["mentions"]] == [("verb", 1, "walk")]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_blocks_split_anywhere(end):
+    import io
+
+    from eventgrove.sources.blocks import blocks_of
+
+    text = end.join(["a 1", "a 2", "", "b", " \t", "", "# note", "c", "", "", "d" * 50, "e", ""]) + "last"
+    want = [b"a 1\na 2", b"b", b"# note\nc", b"d" * 50 + b"\ne", b"last"]
+    want = [b"a 1\na 2", b"b", b"# note\nc", b"d" * 50 + b"\ne\nlast"] if "e" + end + "last" in text else want
+    for size in range(1, 40):
+        got = [b for start in range(0, len(text), size) for b in blocks_of(io.BytesIO(text.encode()), start, start + size)]
+        assert got == want
+
+
+def test_block_source(spark, tmp_path):
+    from eventgrove.sources.blocks import register
+
+    (tmp_path / "bc" / "x").mkdir(parents=True)
+    (tmp_path / "nw").mkdir()
+    (tmp_path / "bc" / "x" / "one.gold_conll").write_bytes(b"\r\n\r\n".join(b"w %d\r\nv" % i for i in range(500)) + b"\r\n")
+    (tmp_path / "nw" / "two.gold_conll").write_bytes(b"other\n")
+    (tmp_path / "bc" / "_skip.gold_conll").write_bytes(b"no\n")
+    (tmp_path / "bc" / "three.txt").write_bytes(b"no\n")
+    register(spark)
+    read = spark.read.format("text_blocks").option("suffix", "gold_conll").option("splitBytes", 300)
+    rows = read.option("domain", "bc").load(str(tmp_path)).collect()
+    assert sorted(r["value"] for r in rows) == sorted(f"w {i}\nv" for i in range(500))
+    assert {r["file"] for r in rows} == {str(tmp_path / "bc" / "x" / "one.gold_conll")}
+    assert spark.read.format("text_blocks").option("suffix", ".none").load(str(tmp_path)).count() == 0
