@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: Paths given out so far, for ``temporary_tables``.
+_given: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables frozen inside are removed at the end, so a long job holds those of one step only.
+
+    What is to stay must have been written by then, to a path from outside.
+    """
+    before = len(_given)
+    try:
+        yield
+    finally:
+        for name in _given[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _given[before:]
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:

@@ -83,3 +83,19 @@ def test_bounds_that_hold_triggers(spark):
                     want.append((doc, at, i, at - bounds[i][2]))
     want.append(("cold", 5, 0, 0))
     assert sorted((r["doc"], r["trigger_start"], r["sent"], r["local_index"]) for r in got.collect()) == sorted(want)
+
+
+def test_temporary_tables_go_and_others_stay(spark):
+    import os
+
+    from eventgrove.plans.scratch import freeze, scratch_path, temporary_tables
+
+    stays = scratch_path(spark, "stays")
+    before = freeze(spark.range(3), "before")
+    with temporary_tables(spark):
+        inner = freeze(spark.range(5), "inner")
+        file = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(file)
+        inner.write.parquet(stays)
+    assert not os.path.exists(os.path.dirname(file))
+    assert spark.read.parquet(stays).count() == 5 and before.count() == 3
