@@ -21,6 +21,9 @@ from eventgrove.plans.scratch import freeze
 #: The stages cannot be expressed in SQL; the tests compare them with brute force.
 ORACLE_SQL = None
 
+#: Bytes of the repeated strings that ``suffix_dedup`` cuts: less than 51 words hold, also of short words.
+PASSAGE_BYTES = 240
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents to which op6 gives a language. Only its ``und`` goes: a short clean text may have any cosine."""
@@ -43,8 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once; ``n_chars`` follows the text."""
-    return strip_repeated_strings(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Texts without the strings of ``PASSAGE_BYTES`` that occur more than once; ``n_chars`` follows the text."""
+    return strip_repeated_strings(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
