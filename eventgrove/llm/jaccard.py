@@ -152,7 +152,7 @@ def similar_documents(df: DataFrame, words: int = WORDS, percent: int = PERCENT,
     * Null and empty texts have an empty set and are linked with nothing: their component is their own id,
       null for a null id. A linked row with a null id takes the smallest id that is not null, if there is one.
     * Equal sets are one set in the join, so copies and repeated rows need no pairs. An empty table gives
-      an empty result. Sets are compared by 46 to 56 bits of each shingle's hash.
+      an empty result. Sets are compared by 43 to 56 bits of each shingle's hash.
     """
     rows = shared_shingles(df, words, percent, id, text)
     rows = freeze(rows.select(F.monotonically_increasing_id().alias("at"), F.col("id").alias("doc_id"), "n_shingles", "tokens"), "shingles")

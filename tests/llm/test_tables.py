@@ -55,6 +55,19 @@ def test_large_products_are_exact(candidate, query, width):
     assert [(-int(s), int(i)) for s, i in zip(got, ids)] == want
 
 
+def test_components_of_any_size(spark):
+    rows = [(0, [1.0, 1.0]), (1, [3e5, 1.0]), (2, [1.0, 0.0]), (3, [-1e12, 0.5]), (4, [1e6, 1e6]), (5, [1e300, 0.0]), (6, [1.7e308, 0.0]), (7, [-0.001, 2.0**60])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(frame, F.col("vec_id") < 5, k=8).collect()}
+    vectors = {i: [math.floor(256 * x) if abs(x) < 2**40 else int(256 * x) for x in v] for i, v in rows if i != 6}  # 256 * 1.7e308 is not finite
+    last = (1 << 63) - 1
+    for q in range(5):
+        scores = {i: sum(a * b for a, b in zip(vectors[q], v)) for i, v in vectors.items() if i != q}
+        want = sorted((-max(min(s, last), -last - 1), i) for i, s in scores.items())
+        assert [got[q, k + 1] for k in range(len(want))] == [(i, -s) for s, i in want]
+        assert (q, len(want) + 1) not in got
+
+
 class CountedRows:
     def __init__(self, rows):
         self.rows, self.read = rows, 0
@@ -71,7 +84,7 @@ def test_top_k(spark, monkeypatch, block):
     rng = random.Random(1)
     rows = [(i, [float(rng.randrange(-2, 3)) / 4 for _ in range(3)]) for i in range(60)]
     rows += [rows[5], (60, rows[5][1]), (61, [0.5, -0.25]), (62, []), (None, [1.0, 1.0, 1.0])]
-    odd = [(63, None), (64, [1.0, None, 0.0]), (65, [math.nan, 0.0, 0.0]), (50, [math.inf, 0.0, 0.0]), (66, [1e30, 0.0, 0.0])]
+    odd = [(63, None), (64, [1.0, None, 0.0]), (65, [math.nan, 0.0, 0.0]), (50, [math.inf, 0.0, 0.0])]
     table = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + odd], "vec_id bigint, embedding array<float>, score int, id int")
     vectors = {i: [math.floor(256 * x) for x in v] + [0] * (3 - len(v)) for i, v in rows if i is not None}
     want = []
@@ -185,7 +198,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     component, _ = brute.components([r["doc_id"] for r in before], [r["text"] for r in before])
     assert set(tables[2]) == {r["doc_id"] for r, c in zip(before, component) if r["doc_id"] == c} < set(tables[1])
     mine = sorted(tables[2].values(), key=lambda r: r["doc_id"])
-    flags = brute.covered([r["text"].encode() for r in mine], 400)
+    flags = brute.covered([r["text"].encode() for r in mine], corpus_pipeline.PASSAGE_BYTES)
     assert sum(map(any, flags)) > 3
     for r, gone in zip(mine, flags):
         kept = bytes(b for b, g in zip(r["text"].encode(), gone) if not g).decode("utf-8", "ignore")
@@ -224,6 +237,26 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert Counter(t for t in out if t[0] != 7) == Counter([(None, b), (3, c), (9, d), (None, e), (4, None), (4, None), (None, "")])
 
 
+def test_passages_of_51_to_70_words_are_cut(spark):
+    """Each planted passage stands in two documents; what surrounds it stays."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice(["th", "ing", "er", "a", "of", "que"]) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    passages = [say(n) for n in range(51, 71)]
+    rows = [(2 * i + k, f"{say(60)}\n{p}\n{say(40)}", "en", "s", 0) for i, p in enumerate(passages) for k in (0, 1)] + [(100 + i, say(90), "en", "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    for doc, text, *_ in rows:
+        assert got[doc] == text if doc >= 100 else passages[doc // 2] not in got[doc] and got[doc].startswith(text[:200])
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    rows = [(i % 5, f"the house of words number {i} and the rest of it stands here for long", "en", "src0", 1, f"r{i}", f"l{i}", 0.5, "f", 3, "m") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, _language string, _cosine double, _file string, row int, copies string")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_to_weights):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
