@@ -15,23 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventgrove.llm.columns import sub_batches
 from eventgrove.plans.scratch import freeze
 
-#: An anchor with more different fragments is settled window by window, spread over all tasks.
-HOT_FRAGMENTS = 512
-#: Bytes of fragments that are indexed together.
-SHARD_BYTES = 1 << 20
+#: Bytes of fragments that are indexed together; an anchor that has more is split by longer anchors.
+SHARD_BYTES = 1 << 19
+#: A split deals the windows of an anchor to so many classes, by the place of the anchor in the window.
+CLASSES = 4
 #: Symbols of a long text that are hashed at once; windows across the cut belong to the earlier part.
 PIECE = 1 << 19
 PLACE_BITS = 24
-#: Bytes of hot fragments whose windows are hashed at once.
-HOT_BYTES = 1 << 20
-
 _random = np.random.default_rng(20_240_607)
 BYTE_CODES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _random.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,18 +90,25 @@ class Symbols:
         return b" ".join(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
 
 
+def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` symbols from each place on; ``gram`` is a power of two."""
+    hashed, size, step = codes, 1, 0
+    while size < gram:
+        hashed = hashed[:-size] * FACTORS[step] + hashed[size:]
+        size, step = 2 * size, step + 1
+    return mixed(hashed)
+
+
+PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
+
+
 def runs(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor hash, fragment hash) of each run; texts lie between consecutive ``bounds``."""
     n = len(codes)
     if n < window:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    hashed, size, step = codes, 1, 0
-    while size < gram:
-        hashed = hashed[:-size] * FACTORS[step] + hashed[size:]
-        size, step = 2 * size, step + 1
-    hashed = mixed(hashed)
-    mask = np.uint64((1 << PLACE_BITS) - 1)
-    least = (hashed & ~mask) | np.arange(len(hashed), dtype=np.uint64)
+    hashed = gram_hashes(codes, gram)
+    least = (hashed & ~PLACE_MASK) | np.arange(len(hashed), dtype=np.uint64)
     width, size = window - gram + 1, 1
     while 2 * size <= width:
         least = np.minimum(least[:-size], least[size:])
@@ -120,7 +123,7 @@ def runs(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple
     at = np.flatnonzero(np.cumsum(valid[: len(least)], dtype=np.int8) > 0)
     if not len(at):
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    anchor = (least[at] & mask).astype(np.int64)
+    anchor = (least[at] & PLACE_MASK).astype(np.int64)
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]
     # A run also ends where a text does: neighbouring texts leave a gap in ``at``, as windows do not cross.
     first = np.flatnonzero(new)
@@ -196,64 +199,106 @@ def intervals(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[
     return o[first], p[first], p[last] + 1
 
 
-def windows_by_hash(fragments: DataFrame, symbols: Symbols, parts: int) -> DataFrame:
-    """(anchor, fragment, first, end): repeated windows of fragments with hot anchors, whatever their number.
+def window_classes(own: int, place: int, slack: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, end, place of the longer anchor, its slack) of each class of the windows of a fragment.
+
+    ``place`` is where the anchor starts in the fragment and ``slack`` how many symbols of a window lie outside
+    it. A class has the windows in which the anchor starts at ``low`` to ``high``; all of them hold the anchor
+    and ``low`` symbols before and ``slack - high`` behind it, which is the longer anchor.
+    """
+    for j in range(CLASSES):
+        low, high = j * (slack + 1) // CLASSES, (j + 1) * (slack + 1) // CLASSES - 1
+        first, end = max(0, place - high), min(own, place - low + 1)
+        if low <= high and first < end:
+            yield first, end, place - low, high - low
+
+
+FRAGMENT = "anchor bigint, fragment bigint, own int, copies bigint, place int, slack int, data binary"
+
+
+def split_anchors(fragments: DataFrame, symbols: Symbols) -> DataFrame:
+    """(of_anchor, of_fragment, base, and the columns of ``FRAGMENT``): the fragments cut by longer anchors.
 
-    Windows are compared by two 64-bit hashes. A task deals the packed hashes of a batch of fragments to
-    buckets; each bucket sends back to the batch which of them occur again, counting copies.
+    Equal windows have the anchor at the same place, so they are of one class and have equal longer anchors.
+    ``base`` is the first window of the part in its fragment.
     """
-    fields = ("anchor", "fragment", "own", "copies")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in sub_batches(batches, "data", HOT_BYTES):
-            anchor, fragment, own, copies = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
-            cuts = [symbols.cut(d)[0] for d in batch.column(4).to_pylist()]
-            codes = np.concatenate(cuts)
-            owner = np.repeat(np.arange(len(own)), own)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
-            start = np.cumsum([0, *map(len, cuts)])[:-1][owner] + place
-            h1, h2 = (span_hashes(codes, start, start + symbols.window, which) for which in (2, 3))
-            bucket = ((h1 >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(parts + 1, dtype=np.uint64))
-            name = (part << 32) | number
-            number += 1
-            filled = [b for b in range(parts) if edges[b] < edges[b + 1]]
-            slices = [order[edges[b] : edges[b + 1]] for b in filled]
-            packs = [np.stack([h1[at], h2[at], at.astype(np.uint64), copies[owner[at]].astype(np.uint64)]).tobytes() for at in slices]
-            lists = [pa.array([x.tolist() if k == name % len(filled) else None for k in range(len(filled))], type=pa.list_(pa.int64())) for x in (anchor, fragment, own)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(filled)), pa.array(filled, type=pa.int32()), pa.array(packs, type=pa.binary()), *lists],
-                names=["batch", "bucket", "windows", *fields[:3]],
-            )
-
-    def count(bucket: pd.DataFrame) -> pd.DataFrame:
-        parts_of = [np.frombuffer(x, dtype=np.uint64).reshape(4, -1) for x in bucket["windows"]]
-        h1, h2, _, copies = np.concatenate(parts_of, axis=1)
-        order = np.lexsort((h2, h1))
-        new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
-        run = np.cumsum(new) - 1
-        again = np.zeros(len(h1), dtype=bool)
-        again[order] = (np.bincount(run, weights=copies[order].astype(np.float64)) > 1)[run]
-        ends = np.cumsum([p.shape[1] for p in parts_of])
-        found = [p[2][again[e - p.shape[1] : e]].astype(np.int64).tobytes() for p, e in zip(parts_of, ends)]
-        return pd.DataFrame({"batch": bucket["batch"], "again": found, **{f: bucket[f] for f in fields[:3]}})
-
-    def assemble(batch: pd.DataFrame) -> pd.DataFrame:
-        home = [i for i, x in enumerate(batch["own"]) if x is not None][0]
-        anchor, fragment, own = (np.asarray(batch[f].iloc[home], dtype=np.int64) for f in fields[:3])
-        owner = np.repeat(np.arange(len(own)), own)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
-        flags = np.zeros(len(owner), dtype=bool)
-        flags[np.frombuffer(b"".join(batch["again"]), dtype=np.int64)] = True
-        who, first, end = intervals(flags, owner, place)
-        return pd.DataFrame({"anchor": anchor[who], "fragment": fragment[who], "first": first.astype(np.int32), "end": end.astype(np.int32)})
-
-    lists = ", ".join(f"{f} array<bigint>" for f in fields[:3])
-    dealt = fragments.repartition(parts, "fragment").dropDuplicates(["anchor", "fragment"]).mapInArrow(deal, f"batch bigint, bucket int, windows binary, {lists}")
-    back = dealt.groupBy("bucket").applyInPandas(count, f"batch bigint, again binary, {lists}")
-    return back.groupBy("batch").applyInPandas(assemble, "anchor bigint, fragment bigint, first int, end int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "data", 1 << 18):
+            out: list[tuple] = []
+            for anchor, fragment, own, copies, place, slack, data in zip(*(batch.column(n).to_pylist() for n in range(7))):
+                codes, starts, ends = symbols.cut(data)
+                if place < 0:
+                    place = int(np.argmin(gram_hashes(codes[: symbols.window], symbols.gram) & ~PLACE_MASK))
+                for first, end, longer, left in window_classes(own, place, slack):
+                    a, b = first, end + symbols.window - 1
+                    at, size = np.array([longer, a]), np.array([symbols.window - left, b - a])
+                    key, whole = span_hashes(codes, at, at + size, 2)
+                    # The first anchor and the class stay part of the key, the place part of the fragment's name.
+                    key = mixed(np.array([key ^ np.uint64(anchor % (1 << 64))]) + np.array([longer - place + slack], dtype=np.uint64) * FACTORS[26])
+                    whole = mixed(np.array([whole]) + np.array([longer - a]).astype(np.uint64) * FACTORS[25])
+                    out.append((anchor, fragment, first, int(key.view(np.int64)[0]), int(whole.view(np.int64)[0]), end - first, copies, longer - a, left, symbols.joined(data, starts[a:b], ends[a:b])))
+            columns = list(zip(*out)) if out else [()] * 10
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=names)
+
+    names = ["of_anchor", "of_fragment", "base", *(f.split()[0] for f in FRAGMENT.split(", "))]
+    return fragments.mapInArrow(run, f"of_anchor bigint, of_fragment bigint, base int, {FRAGMENT}")
+
+
+def settled(fragments: DataFrame, symbols: Symbols, search: ShardSearch) -> DataFrame:
+    """(anchor, fragment, first, end): repeated windows of the fragments (columns of ``FRAGMENT``).
+
+    A shard holds whole anchors. An anchor with more bytes than a shard is cut by longer anchors, again and
+    again: what does not surround it everywhere in the same way falls apart, and what does is one fragment with its copies
+    counted. A cut leaves a quarter of the slack, so there are few rounds; without slack an anchor is one window.
+    """
+    spark = fragments.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = fragments.groupBy("anchor").agg(F.sum(F.octet_length("data")).alias("bytes"), F.max("slack").alias("left"))
+    hot = freeze(sizes.where((F.col("bytes") > SHARD_BYTES) & (F.col("left") > 0)).select("anchor"), "hot")
+    result = "anchor bigint, fragment bigint, first int, end int"
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def settle() -> pa.RecordBatch:
+            anchor, fragment, own, copies, data = zip(*held)
+            who, first, end = search(list(data), np.array(own), np.array(copies), symbols)
+            parts = [np.array(anchor)[who], np.array(fragment)[who], first.astype(np.int32), end.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["anchor", "fragment", "first", "end"])
+
+        for batch in sub_batches(batches, "data", 1 << 20):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "fragment", "own", "copies", "data"))):
+                if held and row[:2] == held[-1][:2]:  # the same fragment from an equal text
+                    continue
+                if held and size + len(row[4]) > SHARD_BYTES and row[0] != last:
+                    yield settle()
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row[4]), row[0]
+        if held:
+            yield settle()
+
+    any_hot = not hot.isEmpty()
+    cold = fragments.join(hot, "anchor", "left_anti") if any_hot else fragments
+    cold = cold.select("anchor", "fragment", "own", "copies", "data")
+    whole = cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(shard, result)
+    if not any_hot:
+        return whole
+    rest = fragments.join(hot, "anchor", "left_semi").repartition(parts, "fragment").dropDuplicates(["anchor", "fragment"])
+    cut = freeze(split_anchors(rest.select(*(f.split()[0] for f in FRAGMENT.split(", "))), symbols), "cut")
+    one = cut.groupBy("anchor", "fragment").agg(
+        F.first("own").alias("own"), F.sum("copies").alias("copies"), F.first("place").alias("place"), F.first("slack").alias("slack"), F.first("data").alias("data")
+    )
+    again = cut.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
+    found = settled(freeze(one.join(again, "anchor", "left_semi"), "parts"), symbols, search)
+    links = cut.select("of_anchor", "of_fragment", "base", "anchor", "fragment")
+    mapped = links.join(found, ["anchor", "fragment"]).select(
+        F.col("of_anchor").alias("anchor"), F.col("of_fragment").alias("fragment"), (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("end")).alias("end")
+    )
+    return whole.unionByName(mapped)
 
 
 def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -276,13 +321,7 @@ def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: s
         ),
         "fragments",
     )
-    hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_FRAGMENTS).select("anchor", F.lit(True).alias("hot"))
-    hot = freeze(hot, "hot")
-    wanted = (
-        distinct.join(hot, "anchor", "left")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("anchor", "fragment", "start", "own", "copies", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    )
+    wanted = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "fragment", "start", "own", "copies")).alias("wanted"))
     # One row per text that has a repeated anchor, with the fragments to take from it (for most copies: none).
     holders = found.select("k1", "k2").distinct().join(wanted, ["k1", "k2"], "left")
     candidates = freeze(texts.join(holders, ["k1", "k2"]), "candidates")
@@ -294,44 +333,16 @@ def repeated_windows(df: DataFrame, symbols: Symbols, search: ShardSearch, id: s
                 _, starts, ends = symbols.cut(data)
                 for w in wanted:
                     a, b = w["start"], w["start"] + w["own"] + symbols.window - 1
-                    out.append((w["anchor"], w["fragment"], w["own"], w["copies"], w["hot"], symbols.joined(data, starts[a:b], ends[a:b])))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["anchor", "fragment", "own", "copies", "hot", "data"])
+                    out.append((w["anchor"], w["fragment"], w["own"], w["copies"], symbols.joined(data, starts[a:b], ends[a:b])))
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["anchor", "fragment", "own", "copies", "data"])
 
     # Rows with one key are equal texts; each gives the same fragments, of which one is kept below.
     given = candidates.where(F.col("wanted").isNotNull()).select("data", "wanted")
-    fragments = freeze(given.mapInArrow(take, "anchor bigint, fragment bigint, own int, copies bigint, hot boolean, data binary"), "texts")
-    result = "anchor bigint, fragment bigint, first int, end int"
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def settle() -> pa.RecordBatch:
-            anchor, fragment, own, copies, data = zip(*held)
-            who, first, end = search(list(data), np.array(own), np.array(copies), symbols)
-            parts = [np.array(anchor)[who], np.array(fragment)[who], first.astype(np.int32), end.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["anchor", "fragment", "first", "end"])
-
-        for batch in sub_batches(batches, "data", 1 << 20):
-            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "fragment", "own", "copies", "data"))):
-                if held and row[:2] == held[-1][:2]:  # the same fragment from an equal text
-                    continue
-                if size > SHARD_BYTES and row[0] != last:
-                    yield settle()
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[4]), row[0]
-        if held:
-            yield settle()
-
-    cold = fragments.where(~F.col("hot")).select("anchor", "fragment", "own", "copies", "data")
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    settled = cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(shard, result)
-
-    single = windows_by_hash(fragments.where("hot").select("anchor", "fragment", "own", "copies", "data"), symbols, parts)
-    repeated = freeze(settled.unionByName(single), "windows")
+    fragments = freeze(given.mapInArrow(take, "anchor bigint, fragment bigint, own int, copies bigint, data binary"), "texts")
+    unplaced = fragments.withColumns({"place": F.lit(-1), "slack": F.lit(symbols.window - symbols.gram)})  # the place is found if it is needed
+    repeated = freeze(settled(unplaced, symbols, search), "windows")
     places = found.join(repeated, ["anchor", "fragment"]).select(
         "k1", "k2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")
     )

@@ -59,9 +59,9 @@ def by_key(df, rows):
     return [(r["doc_id"], r["text"], rows.get((r["k1"], r["k2"]))) for r in keys]
 
 
-@pytest.mark.parametrize("limit", [1, 512])
+@pytest.mark.parametrize("limit", [1, 1 << 19])
 def test_repeated_strings(documents, monkeypatch, limit):
-    monkeypatch.setattr(anchors, "HOT_FRAGMENTS", limit)
+    monkeypatch.setattr(anchors, "SHARD_BYTES", limit)
     found = {(r["k1"], r["k2"]): r for r in repeated_strings(documents, 60, 16).collect()}
     rows = by_key(documents, found)
     flags = brute.covered([(t or "").encode() for _, t, _ in rows], 60)
@@ -92,9 +92,9 @@ def test_strip_keeps_rows_and_columns(documents):
     assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in flags.items()}
 
 
-@pytest.mark.parametrize("limit", [1, 512])
+@pytest.mark.parametrize("limit", [1, 1 << 19])
 def test_repeated_word_windows(documents, monkeypatch, limit):
-    monkeypatch.setattr(anchors, "HOT_FRAGMENTS", limit)
+    monkeypatch.setattr(anchors, "SHARD_BYTES", limit)
     found = {(r["k1"], r["k2"]): r for r in repeated_word_windows(documents, 12, 4).collect()}
     rows = by_key(documents, found)
     cut = [tuple(brute.words(t)) for _, t, _ in rows]
@@ -105,6 +105,35 @@ def test_repeated_word_windows(documents, monkeypatch, limit):
             assert got is None
 
 
+@pytest.mark.parametrize("slack", [0, 1, 2, 3, 5, 44, 336])
+def test_classes_hold_every_window_once(slack):
+    for own, place in ((slack + 1, slack), (1, 0), (1, slack), (slack // 2 + 1, slack // 2)):
+        parts = list(anchors.window_classes(own, place, slack))
+        assert sorted(w for first, end, _, _ in parts for w in range(first, end)) == list(range(own))
+        for first, end, longer, left in parts:  # each of its windows holds the longer anchor
+            assert left < max(1, slack) and all(0 <= longer - w <= left for w in range(first, end))
+
+
+def test_one_passage_in_many_texts(spark, monkeypatch):
+    """A passage that all texts share is cut by longer anchors until a shard holds what is left of it."""
+    monkeypatch.setattr(anchors, "SHARD_BYTES", 4000)
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, half = noise(150), noise(45)
+    texts = [noise(rng.randrange(90)) + passage + noise(rng.randrange(90)) for _ in range(120)]
+    texts += [noise(40) + rng.choice("xy") + half + passage[:70] + noise(30) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    found = {(r["k1"], r["k2"]): r for r in repeated_strings(df, 60, 16).collect()}
+    rows = by_key(df, found)
+    for (_, text, got), gone in zip(rows, brute.covered([t.encode() for _, t, _ in rows], 60)):
+        assert bytes(got["kept"] if got else text.encode()) == bytes(b for b, g in zip(text.encode(), gone) if not g)
+    found = {(r["k1"], r["k2"]): r for r in repeated_word_windows(df, 6, 2).collect()}
+    rows = by_key(df, found)
+    cut = [tuple(brute.words(t)) for _, t, _ in rows]
+    for (_, _, got), w, gone in zip(rows, cut, brute.covered(cut, 6)):
+        assert (bytes(got["kept"]).decode() if got else " ".join(w)) == " ".join(x for x, g in zip(w, gone) if not g)
+
+
 def test_long_texts_are_hashed_in_parts(documents, monkeypatch):
     monkeypatch.setattr(anchors, "PIECE", 200)
     whole = Symbols("bytes", 60, 16)
