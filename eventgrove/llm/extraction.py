@@ -76,10 +76,10 @@ def extract_main_text(df: DataFrame, url: str = "url", html: str = "html", text:
                     own = tree.best_container()[0]
                     for path in paths or []:
                         if path in tree.paths and (is_shell(own) or own == path or tree.covers(path)):
-                            blocks = tree.blocks(path)
+                            blocks = tree.blocks(path, tree.container if own == path else 0)
                         if blocks:
                             break
-                    blocks = blocks or tree.blocks(own or None)
+                    blocks = blocks or tree.blocks(own or None, tree.container)
                 texts.append("\n\n".join(blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["row", "text"])
 

@@ -7,18 +7,20 @@ from html import unescape
 
 # Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object select".split())
+RAW_TEXT = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg object select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER_TEXT = RAW_TEXT | frozenset("head nav aside footer form button menu dialog label input canvas audio video".split())
+NEVER_TEXT = RAW_TEXT | frozenset("head nav aside footer form button menu dialog input canvas audio video annotation annotation-xml".split())
 NOT_A_CONTAINER = HEADING | frozenset("p pre li ul ol dl dt dd table tbody thead tfoot tr blockquote figure figcaption span a b i em strong br".split())
+NOTICE_TAGS = frozenset("div p small span center section".split())
 #: Elements whose text is prose wherever they stand.
 PROSE = HEADING | frozenset("p pre li dd dt blockquote td th figcaption caption".split())
-#: A container holds at least this share of the page's content; up to TINY of it in plain boxes may stay outside.
+#: A container holds at least this share of the page's content; up to TINY of it in plain boxes beside it in the body may stay outside.
 MOST, TINY = 0.7, 0.05
+PAGE_TAGS = frozenset("#root html body".split())
 # Words in class, id and role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment commentlist comments complementary consent "
@@ -34,6 +36,14 @@ AMBIGUOUS = frozenset(
 )
 #: Elements that can be boilerplate by name; a heading, paragraph, item, cell or inline element cannot.
 NAMED = frozenset("div section ul ol dl aside header footer details fieldset center table figure hgroup".split())
+# Whole classes that mark an advert also on a paragraph, item or article.
+ADVERTS = frozenset("ad ads adv advert advertisement adverts promo promoted sponsor sponsored".split())
+# Words in the class of a header's paragraph that tell who wrote the article and when.
+CREDITS = frozenset("author authors byline credit credits date dateline meta published time timestamp updated".split())
+#: A header's paragraph that is a sentence belongs to the article.
+SENTENCE = re.compile(r"\w.*[.!?…][\"'”’»)\]]*\s*\Z", re.DOTALL)
+#: A short box outside the article that begins so is a notice.
+NOTICE, NOTICE_SIZE = re.compile(r"\s*(?:©|&copy;|&#169;|\(c\)\s|copyright\b|all rights reserved)", re.IGNORECASE), 200
 #: A part named by an ambiguous word is prose if it has so many characters outside links, and more than inside.
 PROSE_SIZE = 200
 # First words of classes that tell the state of a page, such as "has-sidebar".
@@ -67,13 +77,17 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.paths = ["#root"], [-1], [""]
-        self.dropped, self.header, self.in_main = [False], [False], [False]
+        self.dropped, self.header, self.in_main, self.prose = [False], [False], [False], [False]
         self.pieces: list[tuple[int, str | None, bool]] = []
         self.totals: list[float] | None = None
         self.unsure: list[int] = []
+        self.readers: list[int] = []
+        self.credits: set[int] = set()
         self.read(html)
-        if self.unsure:
-            self.settle()
+        notices = {n for n, text, _ in self.pieces if text and not self.in_main[n] and self.tags[n] in NOTICE_TAGS and NOTICE.match(text)}
+        if self.unsure or self.readers or notices:
+            self.settle(notices)
+        self.leads = self.standfirsts() if "header" in self.tags else set()
 
     def open(self, tag: str, attributes: str, parent: int) -> int:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -88,15 +102,26 @@ class Page:
         self.paths.append(f"{self.paths[parent]}/{step}" if tag in BLOCK else self.paths[parent])
         marks = words & BOILERPLATE
         unsure = bool(marks) and marks <= AMBIGUOUS and (self.in_main[parent] or tag == "section")
-        self.dropped.append(self.dropped[parent] or tag in NEVER_TEXT or hidden or (bool(marks) and not unsure))
+        own = {c.lower() for c in classes} if tag in ("article", "li", "p") else set()
+        control = tag == "label" and not self.prose[parent]
+        self.dropped.append(self.dropped[parent] or tag in NEVER_TEXT or control or hidden or bool(own & ADVERTS) or (bool(marks) and not unsure))
+        self.prose.append(self.prose[parent] or tag in PROSE)
         self.header.append(self.header[parent] or tag == "header" or bool(words & HEADER_WORDS))
         self.in_main.append(self.in_main[parent] or tag in ("article", "main"))
+        node = len(self.tags) - 1
         if unsure:
-            self.unsure.append(len(self.tags) - 1)
-        return len(self.tags) - 1
+            self.unsure.append(node)
+        if (tag == "li" or tag == "article" and self.in_main[parent]) and any(ws and ws[0].lower() == "comment" for ws in map(WORDS.findall, classes)):
+            self.readers.append(node)
+        if tag == "p" and self.header[parent] and {w.lower() for c in classes for w in WORDS.findall(c)} & CREDITS:
+            self.credits.add(node)
+        return node
 
-    def settle(self) -> None:
-        """Drop the parts with ambiguous names that hold little text or mostly links."""
+    def settle(self, notices: set[int]) -> None:
+        """Drop the parts with ambiguous names that hold little text or mostly links, readers' comments, and short notices.
+
+        An item or article named a comment is a reader's unless it has half of the page's text.
+        """
         free, linked = [0] * len(self.tags), [0] * len(self.tags)
         for node, text, link in self.pieces:
             if text and not self.dropped[node]:
@@ -106,9 +131,25 @@ class Page:
             linked[self.parents[node]] += linked[node]
         for node in self.unsure:
             self.dropped[node] = self.dropped[node] or free[node] < PROSE_SIZE or linked[node] >= free[node]
+        for node in self.readers:
+            self.dropped[node] = self.dropped[node] or 2 * (free[node] + linked[node]) < free[0] + linked[0]
+        for node in notices:
+            self.dropped[node] = self.dropped[node] or free[node] + linked[node] <= NOTICE_SIZE and free[node] + linked[node] < free[0] + linked[0]
         for node in range(1, len(self.tags)):
             self.dropped[node] = self.dropped[node] or self.dropped[self.parents[node]]
 
+    def standfirsts(self) -> set[int]:
+        """Nodes of the paragraphs in an article's header that are sentences and no credits."""
+        within = [-1] * len(self.tags)
+        texts: dict[int, str] = {}
+        for node in range(1, len(self.tags)):
+            lead = self.tags[node] == "p" and self.header[node] and self.in_main[node] and node not in self.credits
+            within[node] = node if lead else within[self.parents[node]]
+        for node, text, _ in self.pieces:
+            if text and within[node] >= 0 and not self.dropped[node]:
+                texts[within[node]] = texts.get(within[node], "") + text
+        return {node for node, text in texts.items() if SENTENCE.search(text)}
+
     def read(self, html: str) -> None:
         stack, tags = [0], self.tags
         at, links = 0, 0
@@ -166,12 +207,13 @@ class Page:
     def outside(self, node: int, whole_page: bool = True) -> bool:
         """Whether the text of a node is not the article's: boilerplate, or a header's text that is no heading.
 
-        The headings of a header count only inside an article, a main element or a smaller container.
+        The headings of a header, and its paragraphs that are sentences, count only inside an article, a main
+        element or a smaller container.
         """
         if self.dropped[node] or (self.header[node] and whole_page and not self.in_main[node]):
             return True
         while self.header[node]:
-            if self.tags[node] in HEADING:
+            if self.tags[node] in HEADING or node in self.leads:
                 return False
             node = self.parents[node]
             if not self.header[node]:
@@ -183,10 +225,7 @@ class Page:
         if self.totals is None:
             n = len(self.tags)
             total, bare, solid, linked_text = ([0.0] * n for _ in range(4))
-            prose = [False] * n
             skipped: dict[int, bool] = {}
-            for node in range(1, n):
-                prose[node] = prose[self.parents[node]] or self.tags[node] in PROSE
             for node, text, linked in self.pieces:
                 if text and not text.isspace():
                     if node not in skipped:
@@ -194,7 +233,7 @@ class Page:
                     if not skipped[node]:
                         size = len(text.strip())
                         total[node] += size * (0.1 if linked else 1.0)
-                        (linked_text if linked else solid if prose[node] else bare)[node] += size
+                        (linked_text if linked else solid if self.prose[node] else bare)[node] += size
             for node in range(n - 1, 0, -1):
                 for sums in (total, bare, solid, linked_text):
                     sums[self.parents[node]] += sums[node]
@@ -205,10 +244,11 @@ class Page:
         """(path, content characters) of the element that holds the content; the path is empty if there is none.
 
         It starts at the outermost article or main element with most of the content, or else at the page, and goes
-        down only while what stays outside is lists of links or a little text in plain boxes: no heading, paragraph
-        or other prose. It ends at an article. A first heading beside an article or main element counts as its own.
+        down only while what stays outside is lists of links, or in the body a little text in plain boxes: no heading,
+        paragraph or other prose. It ends at an article. A first heading beside an article or main element counts as its own.
         """
         total = self.content()
+        self.container = 0
         if total[0] <= 0:
             return "", 0
         children: list[list[int]] = [[] for _ in total]
@@ -219,6 +259,7 @@ class Page:
         at = next((node for node in range(1, len(total)) if self.tags[node] in ("article", "main") and total[node] >= most), 0)
         up = self.parents[at]
         if at and self.tags[up] not in ("html", "body", "#root") and any(self.tags[c] == "h1" for c in children[up]):
+            self.container = up
             return self.paths[up], int(total[up])
         best = at
         while self.tags[at] != "article" and children[at]:
@@ -228,11 +269,12 @@ class Page:
             for c in children[at]:
                 if c != heaviest and self.linked_text[c] <= self.bare[c] + self.solid[c]:
                     left, loose = left + self.bare[c], loose + self.solid[c]
-            if total[heaviest] < most or loose > 0 or left > TINY * total[0]:
+            if total[heaviest] < most or loose > 0 or left > (TINY * total[0] if self.tags[at] in PAGE_TAGS else 0):
                 break
             at = heaviest
             if self.tags[at] in BLOCK and self.tags[at] not in NOT_A_CONTAINER:
                 best = at
+        self.container = best
         return self.paths[best], int(total[best])
 
     def covers(self, path: str) -> bool:
@@ -246,11 +288,11 @@ class Page:
             inside[node] = mine or inside[self.parents[node]]
         return held >= MOST * total[0]
 
-    def blocks(self, path: str | None) -> list[str]:
-        """Blocks in page order below the elements with this generalised path (None: the whole page)."""
+    def blocks(self, path: str | None, only: int = 0) -> list[str]:
+        """Blocks in page order below the elements with this generalised path (None: the whole page), or below ``only`` one of them."""
         inside = [path is None] * len(self.tags)
         for node in range(1, len(self.tags)):
-            inside[node] = inside[self.parents[node]] or (self.paths[node] == path and self.tags[node] in BLOCK)
+            inside[node] = inside[self.parents[node]] or (node == only if only else self.paths[node] == path and self.tags[node] in BLOCK)
         out: list[str] = []
         held: list[str] = []
         skipped: dict[int, bool] = {}

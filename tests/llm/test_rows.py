@@ -182,6 +182,30 @@ def test_named_boilerplate_goes():
         assert Page(f"<body><article><p>First.</p>{boilerplate}<p>Last.</p></article></body>").blocks(None) == ["First.", "Last."], boilerplate
 
 
+LONG = "A long sentence of the article. " * 20
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article><header><h1>T</h1><p class=lead>What it is about.</p><p class=byline>By A. Writer.</p><p>3 May 2020</p></header><p>%s</p></article>", ["T", "What it is about.", "L"]),
+        ("<div class=wrap><div class=text>%s</div><div class=end>Closing remark</div></div>", ["L", "Closing remark"]),
+        ("<article><p>%s</p><p>So <math><mi>x</mi><annotation>x</annotation></math> is <label>large</label>.</p></article>", ["L", "So x is large."]),
+        ("<div><label>Name</label><input></div><article><p>%s</p></article>", ["L"]),
+        ("<main><article><p>%s</p></article><article class=comment><p>First!</p></article><ol><li class='comment depth-1'>Second!</li></ol></main>", ["L"]),
+        ("<main><article class=comment><p>%s</p></article></main>", ["L"]),
+        ("<article><p>%s</p><p class=advert>Buy now</p><p>End.</p></article>", ["L", "End."]),
+        ("<div>Home News Sport</div><div>%s</div><div>Copyright 2020 Us</div>", ["L"]),
+        ("<div id=all><div><a href=x>Home</a></div><div>%s</div><div>© Us</div></div>", ["L"]),
+        ("<article><p>%s</p><p>Copyright is a right.</p></article>", ["L", "Copyright is a right."]),
+    ],
+)
+def test_parts_at_the_edge_of_an_article(spark, html, want):
+    page = Page(f"<html><body>{html % LONG}</body></html>")
+    path = page.best_container()[0]
+    assert page.blocks(path, page.container) == [LONG.strip() if w == "L" else w for w in want]
+
+
 def test_rare_template_with_a_winning_box(spark):
     usual = "<body><div class=top><p>%s</p></div></body>"
     nested = "<body><div class=wrap><h1>T</h1><p>%s</p><div class=top><p>Teaser.</p></div></div></body>"
