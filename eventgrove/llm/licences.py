@@ -24,12 +24,13 @@ NO_HOLDER = (
 )
 #: A line that states a copyright: the word and a sign, year or holder, or a sign alone, and what follows on the line.
 #: A wrapped line of a licence may begin with "copyright notice" or "(c) You must": it stays.
-COPYRIGHT_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n(©_]*(?:copyright[ \t:]*(?:\(c\)|©|[\[<{]*(?:\d|y{2,4}\b|year\b))"
-    rf"|copyright[ \t]+(?!(?:{NO_HOLDER})\b)[\p{{L}}\[<{{]"
-    r"|\(c\)[ \t]*copyright|\(c\)[^\n]*(?:\b(?:19|20)\d\d\b|all rights reserved)|©|all rights reserved)[^\n]*$"
+LINE_START = r"^[^\p{L}\p{N}\n(©_]*"
+STATED = (
+    r"(?:copyright[ \t:]*(?:\(c\)|©|[\[<{]*(?:\d|y{2,4}\b|year\b))"
+    r"|\(c\)[ \t]*copyright|\(c\)[^\n]*(?:\b(?:19|20)\d\d\b|all rights reserved)|©|all rights reserved)"
 )
-#: A text this many times longer than the longest known one cannot become equal to it by respelling.
+COPYRIGHT_LINE = rf"(?md){LINE_START}(?:{STATED}|copyright[ \t]+(?!(?:{NO_HOLDER})\b)[\p{{L}}\[<{{])[^\n]*$"
+#: A line this many times longer than the longest known text cannot become equal to it by respelling.
 RESPELLED = 2
 
 
@@ -82,8 +83,7 @@ def scan_licences(df: DataFrame, id: str = "doc_id", text: str = "text", licence
 
     def units(form: Column) -> Column:
         lines = F.filter(F.transform(F.split(form, "\n"), lambda line: F.trim(line)), possible)
-        one_line = let(joined_lines(form), body=lambda f: F.when(possible(f), respelled(f)).otherwise(f))
-        whole = F.struct(F.lit(True).alias("whole"), F.md5(one_line.cast("binary")).alias("digest"))
+        whole = let(joined_lines(form), body=lambda f: unit(f, True))
         return F.concat(F.array(whole), F.transform(F.array_distinct(lines), lambda line: unit(line, False)))
 
     rows = df.select(F.monotonically_increasing_id().alias("at"), F.col(id).alias("id"), let(stripped(F.coalesce(F.col(text), F.lit(""))), body=units).alias("units"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventgrove.llm.licence_texts import LICENCES, SPELLINGS
-from eventgrove.llm.licences import RESPELLED, scan_licences
+from eventgrove.llm.licences import LINE_START, NO_HOLDER, RESPELLED, STATED, scan_licences
 from eventgrove.llm.mixing import MixPlan, mix_sources
 from eventgrove.llm.registry import query, table
 
@@ -83,8 +83,11 @@ def _quoted(text: str) -> str:
 
 
 def _stripped(text: str) -> str:
-    line = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-    return rf"regexp_replace(replace(regexp_replace(lower({text}), '{line}', '', 'g'), '&', ' and '), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    """RE2 has no look-ahead: a line with a holder is one with a word behind "copyright" that is not one of running text."""
+    before = rf"{LINE_START}copyright[ \t]+"
+    states = rf"regexp_matches(l, '{LINE_START}{STATED}') OR regexp_matches(l, '{before}[\p{{L}}\[<{{]') AND NOT regexp_matches(l, '{before}(?:{NO_HOLDER})\b')"
+    kept = f"array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda l: CASE WHEN {states} THEN '' ELSE l END), chr(10))"
+    return rf"regexp_replace(replace({kept}, '&', ' and '), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 
 
 def _respelled(text: str) -> str:
@@ -107,7 +110,7 @@ line AS (
   WHERE length(form) BETWEEN lo AND hi),
 hit AS (
   SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM line JOIN known ON md5({_respelled("line.form")}) = known GROUP BY r),
-dig AS (SELECT r, doc_id, md5(CASE WHEN length(form) BETWEEN lo AND hi THEN {_respelled("form")} ELSE form END) AS digest FROM whole, lim)
+dig AS (SELECT r, doc_id, md5({_respelled("form")}) AS digest FROM whole)
 SELECT doc_id, digest, known.licence, coalesce(hit.notices, '') AS notices
 FROM dig LEFT JOIN known ON digest = known LEFT JOIN hit USING (r)
 """

@@ -309,7 +309,7 @@ def test_licences(spark, documents, empty):
     assert scan_licences(documents).count() == documents.count() and scan_licences(empty).count() == 0
 
 
-def test_licences_wrapped_and_commented(spark):
+def test_licences_wrapped_and_commented(spark, tmp_path):
     states = re.compile(r"^\W*(?:copyright (?:\(c\)|\[yyyy)|all rights reserved)|_____", re.I)
 
     def refill(text, width):
@@ -339,6 +339,19 @@ def test_licences_wrapped_and_commented(spark):
     broken = spark.createDataFrame([(1, LICENCES["ISC"].replace(isc, "\n" + isc)), (2, LICENCES["ISC"].replace(isc, "\n * " + isc))], "doc_id int, text string")
     assert [r["licence"] for r in scan_licences(broken).collect()] == ["ISC", "ISC"]
 
+    import duckdb
+
+    from eventgrove.llm.queries import ORACLES, QUERIES
+
+    lines = ["Copyright\r\nCopyright 2020 A\rB", "// copyright  notice of x\n// Copyright  Holder Inc\n(c) You must", "The programme is long. " * 9000, None, ""]
+    texts = [t for _, _, t in rows] + [r["text"] for r in broken.collect()] + lines
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES["op8_licence_scan"]).project("doc_id, digest, licence, notices").fetchall()
+    got = QUERIES["op8_licence_scan"](spark, str(tmp_path)).select("doc_id", "digest", "licence", "notices").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
 
 # -- the registered queries against their SQL --------------------------------------------------------
 
