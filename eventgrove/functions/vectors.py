@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventgrove.functions.let import let
+from eventgrove.functions.tokens import positions_where
 
 ZERO = 0.0
 
@@ -42,7 +43,7 @@ def mean_of(vectors: Column) -> Column:
         )
         return F.when(n > 0, F.transform(summed, lambda x: x / n))
 
-    return let(vectors, F.size(vectors), body=mean)
+    return let(vectors, body=lambda vectors: let(F.size(vectors), body=lambda n: mean(vectors, n)))
 
 
 def masked_mean(vectors: Column, mask: Column) -> Column:
@@ -74,8 +75,8 @@ def pieces_by_word(word_ids: Column) -> Column:
 
 def span_mean(hidden: Column, word_ids: Column, words: Column) -> Column:
     """Mean of the piece vectors that belong to the given words; null for no words."""
-    rows = F.zip_with(hidden, word_ids, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
-    hits = let(
-        words, body=lambda words: F.filter(rows, lambda r: F.coalesce(F.array_contains(words, r["w"]), F.lit(False)))
-    )
-    return mean_of(F.transform(hits, lambda r: as_double(r["v"])))
+    def mean(words: Column) -> Column:
+        hits = positions_where(word_ids, lambda w: F.array_contains(words, w))
+        return F.when(F.size(words) > 0, mean_of(F.transform(hits, lambda i: as_double(F.get(hidden, i)))))
+
+    return let(words, body=mean)
