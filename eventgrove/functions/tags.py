@@ -86,7 +86,8 @@ def _bracket_text(pairs: Column) -> Column:
             .otherwise("")
         )
         closing = F.when((p["tag"] != "O") & ~F.coalesce(after.startswith("I-"), F.lit(False)), "]").otherwise("")
-        return F.concat(opening, p["word"], closing)
+        # Most words are outside and stay as they are.
+        return F.when(p["tag"] == "O", p["word"]).otherwise(F.concat(opening, p["word"], closing))
 
     return let(pairs, body=lambda pairs: F.array_join(F.transform(pairs, lambda p, i: word(pairs, p, i)), " "))
 
@@ -125,6 +126,9 @@ def bracket_tags(cells: Column) -> Column:
             ),
         )
 
-    opens = positions_where(cells, lambda c: c.contains("("))
-    closes = positions_where(cells, lambda c: c.contains(")"))
-    return spans_to_tags(let(cells, opens, closes, body=spans), F.size(cells))
+    def tags(cells: Column) -> Column:
+        opens = positions_where(cells, lambda c: c.contains("("))
+        closes = positions_where(cells, lambda c: c.contains(")"))
+        return spans_to_tags(let(opens, closes, body=lambda opens, closes: spans(cells, opens, closes)), F.size(cells))
+
+    return let(cells, body=tags)

@@ -62,13 +62,41 @@ def compound_pieces(token: Column, mode: str = "separate") -> Column:
     return F.when(whole | plain, F.array(token)).otherwise(pieces)
 
 
-def running_sum(counts: Column) -> Column:
-    """Exclusive running sum of an int array (one element per entry)."""
+#: Entries that one fold of ``running_sum`` appends; every append copies what the fold holds.
+SUM_PIECE = 24
+
+
+def _folded_sum(counts: Column) -> Column:
+    """(sums, at): the exclusive running sum by appending, and the total."""
     start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
     step = lambda acc, n: F.struct(
         F.array_append(acc["sums"], acc["at"]).alias("sums"), (acc["at"] + n.cast("int")).alias("at")
     )
-    return F.aggregate(counts, start, step, lambda acc: acc["sums"])
+    return F.aggregate(counts, start, step)
+
+
+def running_sum(counts: Column) -> Column:
+    """Exclusive running sum of an int array (one element per entry).
+
+    A long array is summed in pieces, and the pieces' totals once more, so that no long array is copied
+    once per entry.
+    """
+
+    def joined(pieces: Column, bases: Column) -> Column:
+        shifted = lambda piece, base: F.transform(piece["sums"], lambda at: at + base)
+        return F.flatten(F.zip_with(pieces, bases, shifted))
+
+    def in_pieces(counts: Column) -> Column:
+        last = F.floor((F.size(counts) - 1) / SUM_PIECE).cast("int")
+        cut = lambda k: F.slice(counts, k * SUM_PIECE + 1, F.lit(SUM_PIECE))
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: _folded_sum(cut(k)))
+        totals = lambda pieces: _folded_sum(F.transform(pieces, lambda piece: piece["at"]))["sums"]
+        return let(pieces, body=lambda pieces: let(totals(pieces), body=lambda bases: joined(pieces, bases)))
+
+    return let(
+        counts,
+        body=lambda counts: F.when(F.size(counts) > SUM_PIECE, in_pieces(counts)).otherwise(_folded_sum(counts)["sums"]),
+    )
 
 
 def index_lists(counts: Column) -> Column:
@@ -81,8 +109,7 @@ def index_lists(counts: Column) -> Column:
 
 def positions_where(items: Column, test) -> Column:
     """0-based positions of the items that pass ``test``."""
-    marked = F.transform(items, lambda x, i: F.when(test(x), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    return F.array_remove(F.transform(items, lambda x, i: F.when(test(x), i).otherwise(-1)), -1)
 
 
 def ones(indicator: Column) -> Column:

@@ -65,6 +65,16 @@ def _rule_frame(tokens: Column, m: Column) -> Column:
     return let(tg.spans_to_tags(spans, n), body=lambda tags: _tagged_frame(tokens, m, tags))
 
 
+def _rule_text(tokens: Column, at: Column, tags: Column) -> Column:
+    """``frame_text`` of a rule frame, whose spans lie within four tokens: the words around them need no look at a tag."""
+    low = F.greatest(at - 1, F.lit(0))
+    near = lambda items: F.slice(items, low + 1, at + 3 - low)
+    text = tg.frame_text(near(tokens), near(tags))
+    # An empty word at either end of the slice still is a word, and an empty array is none.
+    before, after = F.slice(tokens, F.lit(1), low), F.slice(tokens, at + 4, F.size(tokens))
+    return F.array_join(F.concat(before, F.array(text), after), " ")
+
+
 def _tagged_frame(tokens: Column, m: Column, tags: Column) -> Column:
     at = m["tok_idx"]
     return F.struct(
@@ -73,7 +83,7 @@ def _tagged_frame(tokens: Column, m: Column, tags: Column) -> Column:
         F.array(at).alias("indices"),
         F.array(at).alias("predicate_index"),
         F.when(m["kind"] == "verb", "1.0").otherwise("1").alias("sense"),
-        tg.frame_text(tokens, tags).alias("description"),
+        _rule_text(tokens, at, tags).alias("description"),
         tags.alias("tags"),
     )
 

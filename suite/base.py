@@ -48,7 +48,8 @@ def conversation_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
 
 
 def joined(column, sep: str = " "):
-    return F.array_join(F.transform(column, lambda x: x.cast("string")), sep)
+    column = F.col(column) if isinstance(column, str) else column
+    return F.array_join(column.cast("array<string>"), sep)
 
 
 def benchmark_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,8 +273,11 @@ _PIECES = "CAST(floor((length(token) + 4) / 5) AS INTEGER)"
 
 
 def framed(spark, sf_dir):
-    rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
-    return rows.select("sent_id", "frame", "words", F.col("f.tags").alias("tags"), piece_counts(F.col("words")).alias("n_pieces"))
+    # Pieces belong to the sentence, whatever the number of its frames.
+    sentences = annotate(conversations(spark, sf_dir)).withColumn("n_pieces", piece_counts(F.col("words")))
+    offsets = F.transform(tk.piece_offsets(F.col("n_pieces"), cap=1 << 30), lambda s: s["start"])
+    rows = unpacked(sentences.withColumn("starts", offsets), ["sent_id", "words", "n_pieces", "starts"], "frames", "frame", "f")
+    return rows.select("sent_id", "frame", "words", F.col("f.tags").alias("tags"), "n_pieces", "starts")
 
 
 @query(
@@ -325,7 +328,7 @@ def b18_collapse_to_words(spark, sf_dir):
         "sent_id",
         "frame",
         tk.expand_labels(F.col("tags"), F.col("n_pieces")).alias("labels"),
-        F.transform(tk.piece_offsets(F.col("n_pieces"), cap=1 << 30), lambda s: s["start"]).alias("starts"),
+        "starts",
     )
     return pieces.select("sent_id", "frame", joined(tk.collapse_to_words(F.col("labels"), F.col("starts"))).alias("tags"))
 
