@@ -60,8 +60,15 @@ def locate_triggers(triggers: DataFrame, bounds: DataFrame, key: str) -> DataFra
     carried = cut.groupBy(key, "_piece").agg(F.max("_opened").alias("_last")).select(key, "_piece", F.max("_last").over(earlier).alias("_carried"))
     held = cut.withColumn("_inside", F.max("_opened").over(inside)).where("_kind = 1").join(carried, [key, "_piece"])
     held = held.select(key, F.col("_pos").alias("trigger_start"), F.coalesce("_inside", "_carried").alias("start"))
-    found = bounds.where("start < end").join(held, [key, "start"]).where(F.col("trigger_start") < F.col("end"))
-    return triggers.join(found, [key, "trigger_start"]).withColumn("local_index", F.col("trigger_start") - F.col("start"))
+    # What the bounds carry, such as words, moves once per bound and not once per trigger.
+    found = triggers.join(held, [key, "trigger_start"]).join(bounds.where("start < end"), [key, "start"])
+    columns = [key, "trigger_start", *(c for c in triggers.columns if c not in (key, "trigger_start")), "start"]
+    rest = [c for c in bounds.columns if c not in (key, "start")]
+    return (
+        found.where(F.col("trigger_start") < F.col("end"))
+        .select(*columns, *rest)
+        .withColumn("local_index", F.col("trigger_start") - F.col("start"))
+    )
 
 
 def flatten_rams(df: DataFrame) -> DataFrame:
