@@ -18,17 +18,16 @@ ONTOLOGY_END = "# Event argument types"
 ONTOLOGY_PREFIX = "ldcOnt:"
 
 
-def _line_parts(line: Column) -> tuple[Column, Column]:
-    parts = F.split(F.trim(line), r"\s+")
-    return parts, F.array_position(parts, BAR).cast("int")
+def _line_parts(lines: DataFrame) -> DataFrame:
+    """(_parts, _bar) of each line. Filters on what is made of the parts stay behind the generator, so a line is cut once."""
+    parts = F.array(F.split(F.trim("value"), r"\s+"))
+    return unpacked(lines, [], parts, "_parts").withColumn("_bar", F.array_position("_parts", BAR).cast("int"))
 
 
 def parse_span_lines(lines: DataFrame) -> DataFrame:
     """``file sentnum tok ... ||| sense s:e-LABEL ...`` to file, sentnum, tokens, sense, args, arguments."""
-    parts, bar = _line_parts(F.col("value"))
     return (
-        lines.withColumn("_parts", parts)
-        .withColumn("_bar", bar)
+        _line_parts(lines)
         .where("_bar > 2")
         .select(
             F.get("_parts", F.lit(0)).alias("file"),
@@ -73,10 +72,8 @@ def predicate_indicator(sentences: DataFrame) -> DataFrame:
 
 def parse_preposition_lines(lines: DataFrame) -> DataFrame:
     """``id tok ... ||| sense1 sense2 tag ...``; ``valid`` is false unless each token has a tag."""
-    parts, bar = _line_parts(F.col("value"))
     return (
-        lines.withColumn("_parts", parts)
-        .withColumn("_bar", bar)
+        _line_parts(lines)
         .where("_bar > 1")
         .select(
             F.get("_parts", F.lit(0)).alias("id"),
@@ -99,12 +96,10 @@ def parse_conll(blocks: DataFrame) -> DataFrame:
     chunks = F.split("value", r"(?m)^[ \t\r]*(?:#.*)?$")
     lines = lambda chunk: F.filter(F.split(chunk, r"[\r\n]+"), lambda line: F.trim(line) != "")
     rows = F.transform(lines(F.col("_chunk")), lambda line: F.split(F.trim(line), r"\s+"))
-    sentences = (
-        unpacked(blocks, ["file"], chunks, "_chunk")
-        .where(F.trim("_chunk") != "")
-        .select("file", rows.alias("rows"))
-        .where(F.size("rows") > 0)
-    )
+    # An array of one row: the filter on the rows stays behind it, so they are not cut a second time for it.
+    sentences = unpacked(
+        unpacked(blocks, ["file"], chunks, "_chunk").where(F.trim("_chunk") != ""), ["file"], F.array(rows), "rows"
+    ).where(F.size("rows") > 0)
     column = lambda i: F.transform("rows", lambda r: F.get(r, F.lit(i)))
     or_null = lambda i: F.transform(column(i), lambda x: F.when(x != "-", x))
     width = F.size(F.get("rows", F.lit(0)))

@@ -273,7 +273,7 @@ def preposition_lines(spark, sf_dir):
     rows = unpacked(annotate(conversations(spark, sf_dir)), ["sent_id", "words"], "frames", "frame", "f")
     renamed = F.transform(
         "f.tags",
-        lambda t: F.when(t == "B-V", "B-PREP").when(t == "B-ARG0", "B-GOV").otherwise(F.regexp_replace(t, "ARG1", "OBJ")),
+        lambda t: F.when(t == "O", t).when(t == "B-V", "B-PREP").when(t == "B-ARG0", "B-GOV").otherwise(F.regexp_replace(t, "ARG1", "OBJ")),
     )
     return rows.select(
         F.concat_ws(" ", F.concat_ws("_", "sent_id", "frame"), F.array_join("words", " "), F.lit("||| p.Whole"), F.lit("p.Part"), F.array_join(renamed, " ")).alias("value")
