@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,8 +100,18 @@ def best_sequences(probs: list[np.ndarray], labels: Sequence[str]) -> tuple[list
     return paths, scores
 
 
-#: Numbers that one padded block of sequences holds.
+#: Numbers that one padded block of sequences holds, and numbers of the rows that a task turns into arrays at a time.
 BLOCK_NUMBERS = 1 << 20
+SLICE_NUMBERS = 1 << 19
+
+
+def _slices(batch: pa.RecordBatch, column: str, width: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with about SLICE_NUMBERS numbers each, so memory does not grow with a batch's rows."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = (np.cumsum(lengths) - lengths) * width // SLICE_NUMBERS
+    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(lengths)]):
+        yield batch.slice(int(start), int(end - start))
 
 
 def decode_bio_arrays(sequences: DataFrame, labels: Sequence[str], probs: str = "probs") -> DataFrame:
@@ -114,7 +125,7 @@ def decode_bio_arrays(sequences: DataFrame, labels: Sequence[str], probs: str =
     schema = T.StructType([*kept, T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, probs, len(names))):
             values = [np.array(m or [], dtype=float).reshape(-1, len(names)) for m in batch.column(probs).to_pylist()]
             tags: list[list[str]] = [[]] * len(values)
             scores = np.zeros(len(values))
