@@ -23,9 +23,10 @@ from eventgrove.functions.vectors import as_double
 from eventgrove.plans.ordering import dense_index, group_rank
 from eventgrove.plans.scratch import freeze
 
-# Rows of one search task on either side, clusters per pivot, most pivots. What fits one block is searched by one
-# task in any case, so that task merges it to the end.
+# Rows of one search task on either side (and the most of them, which many clusters take), clusters per pivot, most
+# pivots. What fits one block is searched by one task in any case, so that task merges it to the end.
 BLOCK_ROWS = 1024
+MOST_BLOCK_ROWS = 8192
 CELL_ROWS = 256
 MAX_PIVOTS = 2048
 TAIL_ROWS = BLOCK_ROWS
@@ -52,23 +53,78 @@ def _squared_gaps(points: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Numbers of a matrix that a search holds at a time.
+MATRIX_NUMBERS = 1 << 19
+
+
+def _closest(points: np.ndarray, others: np.ndarray, own_sizes, sizes, own_ids, ids) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, place among ``others``) of the nearest other cluster of each point, the first of equal ones.
+
+    Products of matrices give squared distances up to rounding; only what rounding could make the nearest is
+    measured by plain differences. Values that are not finite are all measured so.
+    """
+    distance, place = np.full(len(points), np.inf), np.zeros(len(points), dtype=np.int64)
+    norms = np.einsum("ij,ij->i", others, others)
+    step = max(1, MATRIX_NUMBERS // max(1, len(others)))
+    for at in range(0, len(points), step):
+        rows = slice(at, at + step)
+        own = np.einsum("ij,ij->i", points[rows], points[rows])
+        scale = own[:, None] + norms[None, :]
+        weight = 2.0 * (own_sizes[rows, None] * sizes[None, :]) / (own_sizes[rows, None] + sizes[None, :])
+        near = weight * (scale - 2.0 * (points[rows] @ others.T))
+        slack = weight * scale * (1e-15 * (points.shape[1] + 16))
+        same = own_ids[rows, None] == ids[None, :]
+        least = np.where(same, np.inf, near + slack).min(axis=1)
+        # Not "less or equal": what is not finite stays a candidate.
+        row, other = np.nonzero(~(near - slack > least[:, None]) & ~same)
+        if len(row) == 0:
+            continue
+        width = max(1, MATRIX_NUMBERS // max(1, points.shape[1]))
+        gaps = np.empty(len(row))
+        for k in range(0, len(row), width):
+            gap = points[rows][row[k : k + width]] - others[other[k : k + width]]
+            gaps[k : k + width] = (gap * gap).sum(axis=-1)
+        gaps = _ward(own_sizes[rows][row], sizes[other], gaps)
+        order = np.lexsort((other, gaps, row))
+        first = order[np.diff(row[order], prepend=-1) != 0]
+        distance[at + row[first]], place[at + row[first]] = gaps[first], other[first]
+    return distance, place
+
+
 def _nearest_in_block(batch: pd.DataFrame) -> pd.DataFrame:
     """Best member for every asking cluster of one block; ties go to the smaller id."""
     asking, members = batch[batch["asks"]], batch[~batch["asks"]].sort_values("cluster")
     if asking.empty or members.empty:
         return pd.DataFrame({"cluster": [], "distance": [], "nearest": []})
     points, others = np.stack(asking["centroid"].to_numpy()), np.stack(members["centroid"].to_numpy())
-    gaps = _ward(asking["size"].to_numpy()[:, None], members["size"].to_numpy()[None, :], _squared_gaps(points, others))
     ids = members["cluster"].to_numpy()
-    gaps[asking["cluster"].to_numpy()[:, None] == ids[None, :]] = np.inf
-    best = gaps.argmin(axis=1)
-    distance = gaps[np.arange(len(best)), best]
-    found = pd.DataFrame({"cluster": asking["cluster"].to_numpy(), "distance": distance, "nearest": ids[best]})
+    sizes = lambda rows: rows["size"].to_numpy().astype(np.float64)
+    distance, place = _closest(points, others, sizes(asking), sizes(members), asking["cluster"].to_numpy(), ids)
+    found = pd.DataFrame({"cluster": asking["cluster"].to_numpy(), "distance": distance, "nearest": ids[place]})
     return found[np.isfinite(found["distance"])]
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return (frame for frame in frames if len(frame))
+def _batches(frames: Iterator[pd.DataFrame], rows: int | None = None) -> Iterator[pd.DataFrame]:
+    """Frames with rows, cut to at most ``rows`` of them."""
+    for frame in frames:
+        for at in range(0, len(frame), rows or max(1, len(frame))):
+            yield frame.iloc[at : at + rows] if rows else frame
+
+
+def _regions(points: np.ndarray, counts: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Cells in groups of neighbours that hold up to ``rows`` members each, or a single cell with more."""
+    done, todo = [], [np.arange(len(counts))]
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1 or counts[cells].sum() <= rows:
+            done.append(np.sort(cells))
+            continue
+        axis = points[cells].var(axis=0).argmax()
+        cells = cells[np.argsort(points[cells, axis], kind="stable")]
+        cut = int(np.searchsorted(np.cumsum(counts[cells]), counts[cells].sum() / 2)) + 1
+        cut = min(max(cut, 1), len(cells) - 1)
+        todo += [cells[:cut], cells[cut:]]
+    return done
 
 
 def _best_of(blocks: GroupedData) -> DataFrame:
@@ -94,9 +150,11 @@ def nearest_clusters(asking: DataFrame, state: DataFrame, n_clusters: int) -> Da
     pivot_ids = np.array([p["cluster"] for p in pivots])
     pivot_sizes = np.array([p["size"] for p in pivots])
     pivot_points = np.array([p["centroid"] for p in pivots])
+    block_rows_most = min(max(BLOCK_ROWS, n_clusters // 16), max(BLOCK_ROWS, MOST_BLOCK_ROWS))
+    chunk = max(1, MATRIX_NUMBERS // n_pivots)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _batches(frames):
+        for frame in _batches(frames, chunk):
             reach = np.sqrt(_squared_gaps(np.stack(frame["centroid"].to_numpy()), pivot_points))
             cell = reach.argmin(axis=1)
             yield frame.assign(cell=cell.astype(np.int32), reach=reach[np.arange(len(cell)), cell])
@@ -110,39 +168,57 @@ def nearest_clusters(asking: DataFrame, state: DataFrame, n_clusters: int) -> Da
     counts, far, near, least = np.zeros(n_pivots, dtype=np.int64), np.zeros(n_pivots), np.zeros(n_pivots), np.ones(n_pivots)
     for c in cells:
         counts[c["cell"]], far[c["cell"]], near[c["cell"]], least[c["cell"]] = c["n"], c["far"], c["near"], c["least"]
-    parts = np.maximum(1, -(-counts // BLOCK_ROWS))
+    regions = _regions(pivot_points, counts, block_rows_most)
+    region_of = np.empty(n_pivots, dtype=np.int64)
+    for region, own_cells in enumerate(regions):
+        region_of[own_cells] = region
+    by_region = np.concatenate(regions)
+    region_starts = np.cumsum([0, *(len(r) for r in regions[:-1])])
+    parts = np.array([max(1, -(-int(counts[r].sum()) // block_rows_most)) for r in regions])
+
+    def asked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(row, region) of the regions with a cell that may hold the row's nearest neighbour."""
+        sizes = frame["size"].to_numpy()[:, None]
+        squared = _squared_gaps(np.stack(frame["centroid"].to_numpy()), pivot_points)
+        bound = _ward(sizes, pivot_sizes[None, :], squared)
+        bound[frame["cluster"].to_numpy()[:, None] == pivot_ids[None, :]] = np.inf
+        reach = np.sqrt(squared)
+        lower = np.maximum(np.maximum(reach - far, near - reach), 0.0)
+        # The margin keeps rounding from shutting out a cell that ties with the bound.
+        possible = _ward(sizes, least[None, :], lower * lower) * (1 - 1e-9) <= bound.min(axis=1)[:, None] + 1e-12
+        return np.nonzero(np.logical_or.reduceat((possible & (counts > 0))[:, by_region], region_starts, axis=1))
 
     def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row per (cluster, cell) that may hold its nearest neighbour."""
-        for frame in _batches(frames):
-            sizes = frame["size"].to_numpy()[:, None]
-            squared = _squared_gaps(np.stack(frame["centroid"].to_numpy()), pivot_points)
-            bound = _ward(sizes, pivot_sizes[None, :], squared)
-            bound[frame["cluster"].to_numpy()[:, None] == pivot_ids[None, :]] = np.inf
-            reach = np.sqrt(squared)
-            lower = np.maximum(np.maximum(reach - far, near - reach), 0.0)
-            # The margin keeps rounding from shutting out a cell that ties with the bound.
-            possible = _ward(sizes, least[None, :], lower * lower) * (1 - 1e-9) <= bound.min(axis=1)[:, None] + 1e-12
-            rows, cell = np.nonzero(possible & (counts > 0))
-            yield frame.iloc[rows].assign(cell=cell.astype(np.int32))
-
-    requests = asking.select(*columns).mapInPandas(
-        visits, "cluster bigint, size bigint, centroid array<double>, cell int"
-    )
-    groups = np.ones(n_pivots, dtype=np.int64)
-    if n_clusters > BLOCK_ROWS:
-        for row in requests.groupBy("cell").count().collect():  # one row per pivot
-            groups[row["cell"]] = max(1, -(-row["count"] // BLOCK_ROWS))
-
-    # A block is (cell, part of its members, part of its askers): both parts have a bounded size,
+        """One row per (cluster, region) that may hold its nearest neighbour."""
+        for frame in _batches(frames, chunk):
+            rows, region = asked(frame)
+            # Some rows at a time, however many regions each of them asks.
+            for at in range(0, len(rows), MOST_BLOCK_ROWS):
+                yield frame.iloc[rows[at : at + MOST_BLOCK_ROWS]].assign(region=region[at : at + MOST_BLOCK_ROWS].astype(np.int32))
+
+    def visit_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(regions), dtype=np.int64)
+        for frame in _batches(frames, chunk):
+            total += np.bincount(asked(frame)[1], minlength=len(regions))
+        yield pd.DataFrame({"region": np.arange(len(regions), dtype=np.int32), "n": total})
+
+    requests = asking.select(*columns).mapInPandas(visits, "cluster bigint, size bigint, centroid array<double>, region int")
+    groups = np.ones(len(regions), dtype=np.int64)
+    n_visits = asking.select(*columns).mapInPandas(visit_counts, "region int, n bigint").groupBy("region").agg(F.sum("n").alias("n"))
+    for row in n_visits.collect():  # one row per region
+        groups[row["region"]] = max(1, -(-row["n"] // block_rows_most))
+
+    # A block is (region, part of its members, part of its askers): both parts have a bounded size,
     # however many clusters crowd into one cell.
-    sizes_table = state.sparkSession.createDataFrame(
-        [(i, int(parts[i]), int(groups[i])) for i in range(n_pivots)], "cell int, parts bigint, groups bigint"
+    spark = state.sparkSession
+    sizes_table = spark.createDataFrame(
+        [(i, int(parts[i]), int(groups[i])) for i in range(len(regions))], "region int, parts bigint, groups bigint"
     )
+    region_table = spark.createDataFrame([(i, int(r)) for i, r in enumerate(region_of)], "cell int, region int")
     spread = F.pmod(F.xxhash64("cluster"), F.lit(1 << 30))
 
     def block_rows(rows: DataFrame, asks: bool) -> DataFrame:
-        sized = rows.join(F.broadcast(sizes_table), "cell")  # at most MAX_PIVOTS rows
+        sized = rows.join(F.broadcast(sizes_table), "region")  # at most MAX_PIVOTS rows
         own, other = ("groups", "parts") if asks else ("parts", "groups")
         return (
             sized.withColumn("_own", F.pmod(spread, F.col(own)))
@@ -150,14 +226,15 @@ def nearest_clusters(asking: DataFrame, state: DataFrame, n_clusters: int) -> Da
             .select(
                 *columns,
                 F.lit(asks).alias("asks"),
-                "cell",
+                "region",
                 (F.col("_other") if asks else F.col("_own")).alias("part"),
                 (F.col("_own") if asks else F.col("_other")).alias("group"),
             )
         )
 
-    blocks = block_rows(requests, True).unionByName(block_rows(placed, False))
-    return _best_of(blocks.groupBy("cell", "part", "group"))
+    members = placed.join(F.broadcast(region_table), "cell")  # at most MAX_PIVOTS rows
+    blocks = block_rows(requests, True).unionByName(block_rows(members, False))
+    return _best_of(blocks.groupBy("region", "part", "group"))
 
 
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
-from eventgrove.operators import evaluate
+from eventgrove.operators import evaluate, linkage
 from eventgrove.operators.mentions import annotate
 from eventgrove.operators.prompts import locate_triggers
 from eventgrove.plans.scratch import TASKS_PER_CORE, use_all_cores
@@ -75,3 +76,23 @@ def test_batches_are_decoded_in_slices(monkeypatch):
 
 def test_a_small_table_has_several_tasks_per_core(spark):
     assert use_all_cores(spark.range(10).coalesce(1)).rdd.getNumPartitions() == TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_a_search_of_regions_yields_bounded_frames():
+    rng = np.random.default_rng(1)
+    points, counts = rng.normal(size=(64, 3)), rng.integers(0, 40, size=64)
+    regions = linkage._regions(points, counts, 200)
+    assert sorted(np.concatenate(regions)) == list(range(64))
+    assert all(len(r) == 1 or counts[r].sum() <= 200 for r in regions)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_closest_equals_plain_differences(monkeypatch, far):
+    monkeypatch.setattr(linkage, "MATRIX_NUMBERS", 300)
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(size=(70, 5)), 1) + far  # rounded, so that there are ties
+    sizes, ids = rng.integers(1, 5, size=70).astype(float), np.arange(70) * 3
+    plain = linkage._ward(sizes[:, None], sizes[None, :], linkage._squared_gaps(points, points))
+    np.fill_diagonal(plain, np.inf)
+    distance, place = linkage._closest(points, points, sizes, sizes, ids, ids)
+    assert (place == plain.argmin(axis=1)).all() and (distance == plain.min(axis=1)).all()
