@@ -119,11 +119,19 @@ def sample_demonstrations(targets: DataFrame, demos: DataFrame, k: int, seed: in
 
     The draw is a hash of (seed, target, draw number), so it depends neither on partitions nor on order.
     """
-    numbered = dense_index(demos, [F.col("input"), F.col("output"), F.col("predicate")], "_demo")
+    # The texts, many times longer than the rest, are numbered once each in their order and joined back at the end,
+    # where the draws of a text stand together. They move once per text and not once per demonstration or draw.
+    texts = dense_index(demos.select(F.col("input").alias("_text")).distinct(), [F.col("_text")], "_text_id")
+    narrow = demos.join(texts, F.col("input").eqNullSafe(F.col("_text"))).drop("input", "_text")
+    numbered = dense_index(narrow, [F.col("_text_id"), F.col("output"), F.col("predicate")], "_demo")
     n = numbered.count()
     draws = targets.select("target_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
     chosen = draws.withColumn("_demo", seeded_bits(seed, F.col("target_id"), F.col("draw")) % n)
-    return chosen.join(numbered, "_demo").drop("_demo")
+    return (
+        chosen.join(numbered, "_demo")
+        .join(texts, "_text_id")
+        .select("target_id", "draw", *(F.col("_text").alias("input") if c == "input" else c for c in demos.columns))
+    )
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from eventgrove.functions import tags as tg
 from eventgrove.functions import tokens as tk
 from eventgrove.operators import evaluate, linkage
 from eventgrove.operators.mentions import annotate
-from eventgrove.operators.prompts import locate_triggers
+from eventgrove.operators.prompts import locate_triggers, sample_demonstrations
 from eventgrove.plans.scratch import TASKS_PER_CORE, use_all_cores
 from eventgrove.sources import blocks
 
@@ -96,3 +96,13 @@ def test_closest_equals_plain_differences(monkeypatch, far):
     np.fill_diagonal(plain, np.inf)
     distance, place = linkage._closest(points, points, sizes, sizes, ids, ids)
     assert (place == plain.argmin(axis=1)).all() and (distance == plain.min(axis=1)).all()
+
+
+def test_draws_meet_texts_by_number(spark):
+    demos = spark.createDataFrame([("t", "o", "p"), ("t", "o", "p"), (None, "n", "q"), ("s", None, "r")], "input string, output string, predicate string")
+    targets = spark.createDataFrame([(f"x{i}",) for i in range(60)], "target_id string")
+    drawn = sample_demonstrations(targets, demos, k=3, seed=7)
+    assert drawn.columns == ["target_id", "draw", "input", "output", "predicate"]
+    assert "_text_id" in drawn._jdf.queryExecution().toString()  # not the texts themselves
+    rows = drawn.collect()
+    assert len(rows) == 180 and {(r["input"], r["output"], r["predicate"]) for r in rows} == {tuple(r) for r in demos.collect()}
