@@ -18,10 +18,12 @@ def salient_mentions(corpus: DataFrame, p: float | None = 0.1) -> DataFrame:
     """
     annotated = freeze(annotate_sentences(corpus), "annotated")
     n_docs = annotated.select(F.count_distinct("doc_id")).first()[0]
-    mentions = assemble_documents(annotated, mentions_of(annotated))
+    # A rule mention is one token, so its list of indices need not travel with it.
+    mentions = assemble_documents(annotated, mentions_of(annotated).drop("indices"))
     weights = lemma_weights(mentions, n_docs).select("doc_id", "lemma", "score")
     scored = mentions.join(weights, ["doc_id", "lemma"])
-    return dedupe_mentions(top_percentile(rank_in_document(scored), p))
+    top = top_percentile(rank_in_document(scored), p)
+    return dedupe_mentions(top.withColumn("indices", F.array("tok_idx")))
 
 
 def salient_events(corpus: DataFrame, p: float | None = 0.1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventgrove.functions.tokens import default_lemma, token_form
 from eventgrove.operators.corpus import corpus_from_table
 from eventgrove.operators.mentions import annotate_sentences, assemble_documents, mentions_of
-from eventgrove.plans.scratch import freeze, use_all_cores
+from eventgrove.plans.scratch import TASKS_PER_CORE, freeze, use_all_cores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_table(texts(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return corpus_from_table(use_all_cores(table(spark, sf_dir, "conversations"), TASKS_PER_CORE), "conv_id", "turn", "text")
 
 
 def conversation_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

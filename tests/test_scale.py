@@ -14,6 +14,7 @@ from eventgrove.functions import tokens as tk
 from eventgrove.operators import evaluate, linkage
 from eventgrove.operators.mentions import annotate
 from eventgrove.operators.prompts import locate_triggers, sample_demonstrations
+from eventgrove.plans import salient
 from eventgrove.plans.scratch import TASKS_PER_CORE, use_all_cores
 from eventgrove.sources import blocks
 
@@ -75,7 +76,7 @@ def test_batches_are_decoded_in_slices(monkeypatch):
 
 
 def test_a_small_table_has_several_tasks_per_core(spark):
-    assert use_all_cores(spark.range(10).coalesce(1)).rdd.getNumPartitions() == TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert use_all_cores(spark.range(10).coalesce(1), TASKS_PER_CORE).rdd.getNumPartitions() == TASKS_PER_CORE * spark.sparkContext.defaultParallelism
 
 
 def test_a_search_of_regions_yields_bounded_frames():
@@ -106,3 +107,11 @@ def test_draws_meet_texts_by_number(spark):
     assert "_text_id" in drawn._jdf.queryExecution().toString()  # not the texts themselves
     rows = drawn.collect()
     assert len(rows) == 180 and {(r["input"], r["output"], r["predicate"]) for r in rows} == {tuple(r) for r in demos.collect()}
+
+
+def test_indices_do_not_travel_with_rule_mentions(spark, monkeypatch):
+    corpus = spark.createDataFrame([("1", "1-0", 0, ["we", "walked"])], "doc_id string, sent_id string, sent_num int, tokens array<string>")
+    seen = []
+    monkeypatch.setattr(salient, "rank_in_document", lambda scored, plain=salient.rank_in_document: seen.extend(scored.columns) or plain(scored))
+    rows = salient.salient_mentions(corpus, None).collect()
+    assert "indices" not in seen and [(r["token"], r["indices"], r["token_index"]) for r in rows] == [("walked", [1], 1)]
