@@ -115,3 +115,38 @@ def test_indices_do_not_travel_with_rule_mentions(spark, monkeypatch):
     monkeypatch.setattr(salient, "rank_in_document", lambda scored, plain=salient.rank_in_document: seen.extend(scored.columns) or plain(scored))
     rows = salient.salient_mentions(corpus, None).collect()
     assert "indices" not in seen and [(r["token"], r["indices"], r["token_index"]) for r in rows] == [("walked", [1], 1)]
+
+
+def test_a_search_with_bounds_measures_few_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    points, sizes, ids = np.round(rng.normal(size=(600, 6)), 1) + 50, rng.integers(1, 5, size=600).astype(float), np.arange(600) * 2
+    plain = linkage._ward(sizes[:, None], sizes[None, :], linkage._squared_gaps(points, points))
+    np.fill_diagonal(plain, np.inf)
+    middle = points.mean(axis=0)
+    search = linkage._Search(ids, sizes, points, middle, linkage._scale_of(float(np.abs(points - middle).max())))
+    search.visit(ids[:60], sizes[:60], points[:60])  # no bound yet: this block is measured in double precision
+    measured, paired = [], linkage._paired_gaps
+    monkeypatch.setattr(linkage, "_closest", None)
+    monkeypatch.setattr(linkage, "_paired_gaps", lambda points, row, *rest: measured.append(len(row)) or paired(points, row, *rest))
+    for at in range(60, 600, 60):
+        search.visit(ids[at : at + 60], sizes[at : at + 60], points[at : at + 60])
+    assert (search.distance == plain.min(axis=1)).all() and (search.nearest == ids[plain.argmin(axis=1)]).all()
+    assert sum(measured) < 600 * 540 / 10
+
+
+def test_pairs_over_many_blocks_equal_plain_differences(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(linkage, "CELL_ROWS", 12)
+    monkeypatch.setattr(linkage, "PACKED_ROWS", 40)
+    monkeypatch.setattr(linkage, "TASK_PAIRS", 1000)
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(90, 3)), 0.01 * rng.normal(size=(60, 3)) + 7])
+    gaps = np.sqrt(linkage._squared_gaps(points, points))
+    np.fill_diagonal(gaps, np.inf)
+    nearest = gaps.argmin(axis=1)
+    expected = {(i, int(j), gaps[i, j]) for i, j in enumerate(nearest) if i < j and nearest[j] == i}
+    state = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(points)], "cluster bigint, size bigint, centroid array<double>")
+    assert {tuple(r) for r in linkage.merge_pairs(state).select("left", "right", "distance").collect()} == expected
+    # A place that a third of all share is several blocks.
+    packed = linkage._packed(state.withColumn("asks", F.col("cluster") % 2 == 0), 150).toPandas()
+    assert packed["n"].sum() == 150 and packed["n"].max() <= 12 and packed["n_asks"].sum() == 75
