@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from eventgrove.functions.vectors import as_double
 from eventgrove.plans.ordering import dense_index, group_rank
-from eventgrove.plans.scratch import freeze
+from eventgrove.plans.scratch import freeze, scratch_path, temporary_tables
 
 # What fits one search block is searched by one task. Clusters per pivot (and per packed block, as long as the pivots
 # suffice), most of them in a packed block, most that ask in one task, most pivots.
@@ -39,7 +39,7 @@ MAX_PIVOTS = 2048
 PACKED_ROWS = 8192
 TASK_PAIRS = 1 << 24
 # What one task merges to the end, in rows and in numbers of its vectors.
-TAIL_ROWS = 16384
+TAIL_ROWS = 32768
 TAIL_NUMBERS = TAIL_ROWS * 64
 
 # Provisional ids: a leaf is its own id, the merge of a round is (round + 1) * LEAVES + a leaf of it.
@@ -317,20 +317,24 @@ def _unpacked(batch: pa.RecordBatch, i: int, width: int) -> dict[str, np.ndarray
     }
 
 
-def _packed(state: DataFrame, n_clusters: int) -> DataFrame:
-    """``state`` (cluster, size, centroid, asks) as blocks of neighbours, of bounded size whatever crowds in one place."""
+def _pivots(state: DataFrame, n_clusters: int) -> np.ndarray:
+    """Points of up to MAX_PIVOTS clusters, near ones beside each other."""
     n_pivots = min(MAX_PIVOTS, max(1, n_clusters // CELL_ROWS))
     # A hash order picks the same pivots on every read; at most MAX_PIVOTS rows reach the driver.
-    pivots = state.select("cluster", "centroid").orderBy(F.xxhash64("cluster"), "cluster").limit(n_pivots).collect()
-    points = np.array([p["centroid"] for p in pivots])
-    middle = points.mean(axis=0)
-    # Near cells have near numbers.
-    points = points[np.concatenate(_regions(points, np.ones(len(points), dtype=np.int64), 1))] - middle
+    rows = state.select("cluster", "centroid").orderBy(F.xxhash64("cluster"), "cluster").limit(n_pivots).collect()
+    points = np.array([row["centroid"] for row in rows])
+    return points[np.concatenate(_regions(points, np.ones(len(points), dtype=np.int64), 1))]
+
+
+def _packed(state: DataFrame, n_clusters: int, pivots: np.ndarray) -> DataFrame:
+    """``state`` (cluster, size, centroid, asks) as blocks of neighbours, of bounded size whatever crowds in one place."""
+    middle = pivots.mean(axis=0)
+    points = pivots - middle
     with np.errstate(over="ignore", invalid="ignore"):
         right = np.vstack([points.T, np.einsum("ij,ij->i", points, points)]).astype(np.float32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, MATRIX_NUMBERS // len(points))
+        step = max(1, MATRIX_NUMBERS // right.shape[1])
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -350,14 +354,17 @@ def _packed(state: DataFrame, n_clusters: int) -> DataFrame:
     return freeze(dealt.mapInArrow(_pack(rows), _PACKED_TYPES), "packed")
 
 
-def nearest_clusters(state: DataFrame, asks: Column, n_clusters: int) -> DataFrame:
-    """(cluster, nearest, distance) for each cluster of ``state`` that ``asks``, by exact search over all of them."""
+def nearest_clusters(state: DataFrame, asks: Column, n_clusters: int, pivots: np.ndarray | None = None) -> DataFrame:
+    """(cluster, nearest, distance) for each cluster of ``state`` that ``asks``, by exact search over all of them.
+
+    ``pivots`` may be those of an earlier state: what they are decides how much is searched, not what is found.
+    """
     flagged = state.select("cluster", "size", "centroid", F.coalesce(asks, F.lit(False)).alias("asks"))
     if n_clusters <= BLOCK_ROWS:
         # What is left fits one block: no cells to choose from.
         both = flagged.where("asks").unionByName(flagged.withColumn("asks", F.lit(False)))
         return _best_of(_nearest_in_blocks(both.groupBy(F.lit(0).alias("block"))))
-    packed = _packed(flagged, n_clusters)
+    packed = _packed(flagged, n_clusters, _pivots(flagged, n_clusters) if pivots is None else pivots)
     # A few numbers per block: there are MAX_PIVOTS of them, and more only where each has MOST_BLOCK_ROWS.
     known = packed.select("block", "n", "n_asks", "least", "radius", "center").collect()
     known.sort(key=lambda k: k["block"])
@@ -652,9 +659,15 @@ def ward_linkage(features: DataFrame, id_col: str = "id", vector: str = "feature
         "state",
     )
     tail_rows = min(tail_rows, max(BLOCK_ROWS, TAIL_NUMBERS // max(1, width or 0)))
-    turn, gone = 1, None
+    spark, turn, gone, pivots, n_pivoted = leaves.sparkSession, 1, None, None, 0
     while n_clusters > max(1, tail_rows):
-        searched = freeze(_round(searched, turn, n_clusters, gone), "state")
+        if n_clusters > BLOCK_ROWS and (pivots is None or n_clusters < n_pivoted / 2):
+            pivots, n_pivoted = _pivots(searched, n_clusters), n_clusters
+        path = scratch_path(spark, "state")
+        with temporary_tables(spark):  # the blocks of a round are of no use to the next
+            following = _round(searched, turn, n_clusters, gone, pivots)
+            following.write.parquet(path)
+        searched = spark.read.schema(following.schema).parquet(path)
         merged = freeze(
             searched.where(F.col("round") == turn).select(F.col("cluster").alias("merge"), "left", "right", "height", "size", "round"), "merges"
         )
@@ -674,7 +687,7 @@ def ward_linkage(features: DataFrame, id_col: str = "id", vector: str = "feature
     return _number_merges(reduce(DataFrame.unionByName, parts), n)
 
 
-def _round(state: DataFrame, turn: int, n_clusters: int, gone: DataFrame | None) -> DataFrame:
+def _round(state: DataFrame, turn: int, n_clusters: int, gone: DataFrame | None, pivots: np.ndarray | None) -> DataFrame:
     """State after one round; ``gone`` is what the round before merged, None if all are to search.
 
     Clusters whose neighbour is gone search again; then all are grouped on the unordered pair
@@ -687,8 +700,7 @@ def _round(state: DataFrame, turn: int, n_clusters: int, gone: DataFrame | None)
         without = state.where(F.col("nearest").isNull()).withColumn("asks", F.lit(True))
         joined = state.where(F.col("nearest").isNotNull()).join(gone.withColumn("_gone", F.lit(True)), "nearest", "left")
         flagged = joined.withColumn("asks", F.col("_gone").isNotNull()).drop("_gone").unionByName(without)
-    flagged = freeze(flagged, "asking") if n_clusters > BLOCK_ROWS else flagged
-    found = nearest_clusters(flagged, F.col("asks"), n_clusters)
+    found = nearest_clusters(flagged, F.col("asks"), n_clusters, pivots)
     lost = flagged.where("asks").drop("asks", "nearest", "distance")
     complete = flagged.where(~F.col("asks")).drop("asks").unionByName(lost.join(found, "cluster"))
 

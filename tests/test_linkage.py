@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import eventgrove.operators.linkage as linkage
 from eventgrove.operators.tree import linkage_to_edges, tree_check
@@ -80,3 +81,34 @@ def test_one_task_alone_equals_greedy_merging(spark):
     heights, sets = greedy_ward(points)
     assert {members[m] for m in merges["merge"]} == sets
     assert np.allclose(merges["height"], heights, atol=1e-9)
+
+
+def test_rounds_in_one_task_equal_greedy_merging(monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(linkage, "CELL_ROWS", 12)
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(120, 4)) + 8 * rng.integers(0, 3, size=(120, 1))
+    members, made = {i: frozenset([i]) for i in range(120)}, []
+    for *_, (merge, left, right, height, size, turn) in linkage._thin(np.arange(120), np.ones(120), np.zeros(120), points, 1):
+        for k in range(len(merge)):
+            members[merge[k]] = members[left[k]] | members[right[k]]
+            assert size[k] == len(members[merge[k]]) and merge[k] // linkage.LEAVES == turn[k] + 1
+            made.append((height[k], members[merge[k]]))
+    heights, sets = greedy_ward(points)
+    assert {m for _, m in made} == sets and np.allclose(sorted(h for h, _ in made), heights, atol=1e-9)
+
+
+def test_no_round_of_spark_for_what_one_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_round", None)
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(1300, 3))  # more than are merged one by one
+    merges, members = run(spark, points)
+    heights, sets = greedy_ward(points)
+    assert {members[m] for m in merges["merge"]} == sets and np.allclose(merges["height"], heights, atol=1e-9)
+
+
+def test_vectors_without_distances_are_an_error(spark):
+    points = [[float("nan"), 0.0]] * 4 + [[1.0, float("inf")]] * 4
+    rows = spark.createDataFrame([(i, p, i) for i, p in enumerate(points)], "id bigint, features array<double>, k int")
+    with pytest.raises(ValueError):
+        linkage.ward_linkage(rows.withColumn("features", F.concat("features", F.array(F.col("k").cast("double")))), tail_rows=2)

@@ -148,5 +148,5 @@ def test_pairs_over_many_blocks_equal_plain_differences(spark, monkeypatch):
     state = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(points)], "cluster bigint, size bigint, centroid array<double>")
     assert {tuple(r) for r in linkage.merge_pairs(state).select("left", "right", "distance").collect()} == expected
     # A place that a third of all share is several blocks.
-    packed = linkage._packed(state.withColumn("asks", F.col("cluster") % 2 == 0), 150).toPandas()
+    packed = linkage._packed(state.withColumn("asks", F.col("cluster") % 2 == 0), 150, linkage._pivots(state, 150)).toPandas()
     assert packed["n"].sum() == 150 and packed["n"].max() <= 12 and packed["n_asks"].sum() == 75
