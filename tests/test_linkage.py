@@ -112,3 +112,16 @@ def test_vectors_without_distances_are_an_error(spark):
     rows = spark.createDataFrame([(i, p, i) for i, p in enumerate(points)], "id bigint, features array<double>, k int")
     with pytest.raises(ValueError):
         linkage.ward_linkage(rows.withColumn("features", F.concat("features", F.array(F.col("k").cast("double")))), tail_rows=2)
+
+
+def test_rounds_share_pivots_and_keep_the_squares(spark, monkeypatch):
+    chosen, turns, pivots, round_of = [], [], linkage._pivots, linkage._round
+    monkeypatch.setattr(linkage, "_pivots", lambda *args: chosen.append(args[1]) or pivots(*args))
+    monkeypatch.setattr(linkage, "_round", lambda *args: turns.append(args[2]) or round_of(*args))
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(1500, 3)) + 6 * rng.integers(0, 4, size=(1500, 1))
+    merges, members = run(spark, points, tail_rows=1030)
+    # A merge at height h adds h * h / 2 to the squares within clusters.
+    assert np.isclose((merges["height"] ** 2).sum() / 2, ((points - points.mean(axis=0)) ** 2).sum())
+    assert len(merges) == 1499 and len(members[2998]) == 1500
+    assert len(turns) > 1 and chosen == [1500]
